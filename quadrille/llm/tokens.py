@@ -12,10 +12,18 @@ import unicodedata
 
 #: Letters of Latin blocks, which lower-case one by one alike in every library.
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
-_SUFFIX = re.compile(rb"^(.*?[^.,;:!?])([.,;:!?]+)$", re.DOTALL)
+_SUFFIX = re.compile(rb"^(.*?[^.,;:!?$&%*#)])([.,;:!?$&%*#)]+)$", re.DOTALL)
 END_ID = 1
 
 
+def byte_letters() -> str:
+    """The letter that byte-level models use for each byte: itself where it is printable in Latin-1, else the next above 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    letter = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+    return "".join(chr(letter[b]) for b in range(256))
+
+
 class _Ids(dict):
     """word (UTF-8) -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -25,11 +33,16 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
         # A run of letters and the punctuation after it are separate pieces to the tokenizer.
         if (m := _SUFFIX.match(word)) and m[1].decode().isalpha():
-            ids = self[m[1]] + self.ask(m[2])
+            ids = self[m[1]] + self[m[2]]
+        elif (text := word.decode()).isalpha() and text == text.lower() and not _BEYOND_LATIN.search(text):
+            # One piece, already in the tokenizer's normal form: the model is asked directly.
+            found = self.model.tokenize(word.decode("latin-1").translate(self.letters))
+            ids = b"".join(t.id.to_bytes(4, "little") for t in found)
         else:
             ids = self.ask(word)
         if len(self) >= self.limit:
