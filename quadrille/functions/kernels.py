@@ -290,26 +290,53 @@ def _lists(column: pa.Array):
     return [values[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
+def _scale(*columns: np.ndarray) -> int:
+    """The power of two that makes every value of a batch whole."""
+    if all((c == np.rint(c)).all() for c in columns):
+        return 1
+    return lcm(*{v.as_integer_ratio()[1] for c in columns for v in np.unique(c).tolist()})
+
+
+class _Shapes(dict):
+    """(type, coordinates) -> Shape on a batch's integer grid; a geometry of many pairs is made once."""
+
+    def __init__(self, scale: int):
+        super().__init__()
+        self.scale = scale
+
+    def __missing__(self, key):
+        kind, data = key
+        values = [n * (self.scale // d) for n, d in map(float.as_integer_ratio, np.frombuffer(data).tolist())]
+        self[key] = shape = Shape(kind, list(zip(values[::2], values[1::2])))
+        return shape
+
+
 def _by_pair(kind: str, fn):
     @F.arrow_udf(kind)
     def run(tr: pa.Array, r: pa.Array, ts: pa.Array, s: pa.Array) -> pa.Array:
-        out = [fn(a, g, b, h) for a, g, b, h in zip(tr.to_pylist(), _lists(r), ts.to_pylist(), _lists(s))]
-        return pa.array(out, {"boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}[kind])
+        made = _Shapes(_scale(*(x.values.to_numpy(zero_copy_only=False) for x in (r, s))))
+        kr, ks = tr.to_pylist(), ts.to_pylist()
+        out = [fn(made[a, g.tobytes()], made[b, h.tobytes()]) for a, g, b, h in zip(kr, _lists(r), ks, _lists(s))]
+        return pa.array(out, {"boolean": pa.bool_(), "string": pa.string()}[kind])
 
     return run
 
 
 def predicate_column(name: str, tr: Column, r: Column, ts: Column, s: Column) -> Column:
     """A predicate of two geometries given by type and flat coordinates."""
-    return _by_pair("boolean", lambda a, g, b, h: predicate(name, *shapes(a, g, b, h)))(tr, r, ts, s)
+    return _by_pair("boolean", lambda r, s: predicate(name, r, s))(tr, r, ts, s)
 
 
 def matrix_column(tr: Column, r: Column, ts: Column, s: Column) -> Column:
-    return _by_pair("string", lambda a, g, b, h: relate(*shapes(a, g, b, h)))(tr, r, ts, s)
+    return _by_pair("string", relate)(tr, r, ts, s)
 
 
 def distance_column(tr: Column, r: Column, ts: Column, s: Column) -> Column:
-    return _by_pair("double", lambda a, g, b, h: shape_distance(a, g, b, h))(tr, r, ts, s)
+    @F.arrow_udf("double")
+    def run(tr: pa.Array, r: pa.Array, ts: pa.Array, s: pa.Array) -> pa.Array:
+        return pa.array([shape_distance(a, g, b, h) for a, g, b, h in zip(tr.to_pylist(), _lists(r), ts.to_pylist(), _lists(s))], pa.float64())
+
+    return run(tr, r, ts, s)
 
 
 def relation_from_matrix(case: Column, matrix: Column) -> Column:
