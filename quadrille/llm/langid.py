@@ -78,7 +78,7 @@ class Model:
         keys = np.array([self.hash(p) for p in self.table], np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.probs = np.concatenate([np.array(list(self.table.values())).reshape(-1, len(langs))[order], np.zeros((1, len(langs)))])
+        self.probs = np.concatenate([np.array(list(self.table.values())).reshape(len(self.table), len(langs))[order], np.zeros((1, len(langs)))])
         self.cache: dict[str, int] = {}
         self.scores = np.zeros((CACHED_WORDS, len(langs)))
 

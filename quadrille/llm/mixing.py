@@ -130,6 +130,7 @@ def pareto_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     size_col: a column with the words of a row, else they are counted in text_col. weight_col: a weight in (0, 1], used in
     64ths; without it long documents are drawn with lower odds. Null sources are a source of their own, the last; null
     texts have no words; rows without words are never drawn by the closing step. Rows that repeat an id share one draw.
+    As copies are whole, a source's words come within about half its largest document of the target, mostly much nearer.
     An empty table gives an empty result. Columns of df named like the added ones are replaced.
     """
     made = ["size", "source_size", "target", "taken", "copies"]
