@@ -12,7 +12,7 @@ from quadrille.sources.geometry import BOX, Geometries
 from quadrille.types import Bounds, DataType, InvalidGeometry, InvalidParameter
 
 #: Windows up to this many are broadcast; more are dealt to grid cells like the data.
-BROADCAST_WINDOWS = 10_000
+BROADCAST_WINDOWS = 16
 KNN_CELLS_PER_DIM = 64
 
 
