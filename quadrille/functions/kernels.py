@@ -311,24 +311,119 @@ class _Shapes(dict):
         return shape
 
 
-def _by_pair(kind: str, fn):
+# ---------------------------------------------------------------- many pairs at once
+
+OPEN, CROSS, R_IN_S, S_IN_R, APART = range(5)
+#: Bound of the relative rounding error of a two-by-two determinant of differences of doubles.
+ROUNDING = 3.3306690738754716e-16
+#: Pairs of segments looked at together; a pair of shapes with more is left open.
+MOST_SEGMENT_PAIRS = 1 << 20
+#: Matrices of two polygons whose outlines cross, or have no point in common.
+POLYGON_MATRICES = {CROSS: "212101212", R_IN_S: "2FF1FF212", S_IN_R: "212FF1FF2", APART: "FF2FF1212"}
+
+
+def _side_of(ax, ay, bx, by, x, y):
+    """Sign of the turn a, b, (x, y); 0 where rounding leaves it open."""
+    left, right = (bx - ax) * (y - ay), (by - ay) * (x - ax)
+    det = left - right
+    return np.where(np.abs(det) > ROUNDING * (np.abs(left) + np.abs(right)), np.sign(det), 0).astype(np.int8)
+
+
+def _within(px, py, ax, ay, bx, by):
+    """For each row: is its point in its ring (1), outside (0) or not certain (-1); the point is on no edge."""
+    straddles = (ay > py[:, None]) != (by > py[:, None])
+    side = _side_of(ax, ay, bx, by, px[:, None], py[:, None])
+    crossed = straddles & ((side > 0) == (by > ay))
+    return np.where((straddles & (side == 0)).any(axis=1), -1, crossed.sum(axis=1) % 2)
+
+
+def _ring(kind: str, g: np.ndarray) -> np.ndarray:
+    return g[:-2] if kind != "LINESTRING" and len(g) > 2 and g[0] == g[-2] and g[1] == g[-1] else g
+
+
+def _same_sizes(kr: str, r: np.ndarray, ks: str, s: np.ndarray) -> np.ndarray:
+    def ends(kind, g):
+        x, y = g[:, ::2], g[:, 1::2]
+        return (x[:, :-1], y[:, :-1], x[:, 1:], y[:, 1:]) if kind == "LINESTRING" else (x, y, np.roll(x, -1, 1), np.roll(y, -1, 1))
+
+    a, b = ends(kr, r), ends(ks, s)
+    ax, ay, bx, by = (v[:, :, None] for v in a)
+    cx, cy, dx, dy = (v[:, None, :] for v in b)
+    apart = ((np.maximum(ax, bx) < np.minimum(cx, dx)) | (np.maximum(cx, dx) < np.minimum(ax, bx))
+             | (np.maximum(ay, by) < np.minimum(cy, dy)) | (np.maximum(cy, dy) < np.minimum(ay, by)))
+    rc, rd = _side_of(ax, ay, bx, by, cx, cy), _side_of(ax, ay, bx, by, dx, dy)
+    sa, sb = _side_of(cx, cy, dx, dy, ax, ay), _side_of(cx, cy, dx, dy, bx, by)
+    apart |= (rc * rd > 0) | (sa * sb > 0)
+    cross = (~apart & (rc * rd < 0) & (sa * sb < 0)).any(axis=(1, 2))
+    overlap = (~apart & (rc == 0) & (rd == 0)).any(axis=(1, 2))  # perhaps along a segment
+    out = np.where(cross & ~overlap, CROSS, OPEN).astype(np.int8)
+    free = np.flatnonzero(apart.all(axis=(1, 2)))
+    inside = np.zeros((2, len(free)), np.int64)
+    if ks != "LINESTRING":
+        inside[0] = _within(r[free, 0], r[free, 1], *(v[free] for v in b))
+    if kr != "LINESTRING":
+        inside[1] = _within(s[free, 0], s[free, 1], *(v[free] for v in a))
+    out[free] = np.select([(inside < 0).any(axis=0), inside[0] == 1, inside[1] == 1], [OPEN, R_IN_S, S_IN_R], APART)
+    return out
+
+
+def quick_cases(kr: list[str], r: list[np.ndarray], ks: list[str], s: list[np.ndarray]) -> np.ndarray:
+    """How the outlines of each pair of valid shapes lie where doubles decide it with certainty; OPEN for touching outlines and points."""
+    groups: dict = {}
+    for i, (a, b) in enumerate(zip(kr, ks)):
+        if a != "POINT" and b != "POINT":
+            groups.setdefault((a, len(_ring(a, r[i])), b, len(_ring(b, s[i]))), []).append(i)
+    out = np.zeros(len(kr), np.int8)
+    for (a, n, b, m), members in groups.items():
+        step = MOST_SEGMENT_PAIRS * 4 // (n * m)
+        for at in range(0, len(members) if step else 0, max(step, 1)):
+            part = members[at : at + step]
+            out[part] = _same_sizes(a, np.array([r[i][:n] for i in part]), b, np.array([s[i][:m] for i in part]))
+    return out
+
+
+def _by_pair(kind: str, fn, quick):
+    """fn of each pair of shapes that is not known and that quick (type, type, case -> result or None) does not answer.
+
+    Marked non-deterministic, so that a filter on it stays above the exchange that deals the pairs.
+    """
+
     @F.arrow_udf(kind)
-    def run(tr: pa.Array, r: pa.Array, ts: pa.Array, s: pa.Array) -> pa.Array:
-        made = _Shapes(_scale(*(x.values.to_numpy(zero_copy_only=False) for x in (r, s))))
-        kr, ks = tr.to_pylist(), ts.to_pylist()
-        out = [fn(made[a, g.tobytes()], made[b, h.tobytes()]) for a, g, b, h in zip(kr, _lists(r), ks, _lists(s))]
+    def run(tr: pa.Array, r: pa.Array, ts: pa.Array, s: pa.Array, known: pa.Array) -> pa.Array:
+        out = known.to_pylist()
+        open_ = [i for i, v in enumerate(out) if v is None]
+        kr, ks, lr, ls = tr.to_pylist(), ts.to_pylist(), _lists(r), _lists(s)
+        cases = quick_cases(*([x[i] for i in open_] for x in (kr, lr, ks, ls)))
+        for i, case in zip(open_, cases.tolist()):
+            out[i] = quick(kr[i], ks[i], case) if case else None
+        left = [i for i in open_ if out[i] is None]
+        if left:
+            made = _Shapes(_scale(*(np.concatenate([g[i] for i in left]) for g in (lr, ls))))
+            for i in left:
+                out[i] = fn(made[kr[i], lr[i].tobytes()], made[ks[i], ls[i].tobytes()])
         return pa.array(out, {"boolean": pa.bool_(), "string": pa.string()}[kind])
 
-    return run
+    return run.asNondeterministic()
+
+
+def _quick_matrix(kr: str, ks: str, case: int):
+    return None if "LINESTRING" in (kr, ks) else POLYGON_MATRICES[case]
+
+
+def predicate_column(name: str, tr: Column, r: Column, ts: Column, s: Column, known: Column | None = None) -> Column:
+    """A predicate of two geometries given by type and flat coordinates; where known is not null, that is the answer."""
 
+    def quick(kr, ks, case):
+        if name in ("intersect", "disjoint"):
+            return (case != APART) == (name == "intersect")
+        m = _quick_matrix(kr, ks, case)
+        return None if m is None else matches(m, name)
 
-def predicate_column(name: str, tr: Column, r: Column, ts: Column, s: Column) -> Column:
-    """A predicate of two geometries given by type and flat coordinates."""
-    return _by_pair("boolean", lambda r, s: predicate(name, r, s))(tr, r, ts, s)
+    return _by_pair("boolean", lambda r, s: predicate(name, r, s), quick)(tr, r, ts, s, F.lit(None).cast("boolean") if known is None else known)
 
 
 def matrix_column(tr: Column, r: Column, ts: Column, s: Column) -> Column:
-    return _by_pair("string", relate)(tr, r, ts, s)
+    return _by_pair("string", relate, _quick_matrix)(tr, r, ts, s, F.lit(None).cast("string"))
 
 
 def distance_column(tr: Column, r: Column, ts: Column, s: Column) -> Column:

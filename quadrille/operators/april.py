@@ -51,9 +51,9 @@ def hilbert_column(order: int, x: Column, y: Column) -> Column:
 
 
 def _runs(d: np.ndarray) -> list[dict]:
-    d = np.unique(d)
     if not len(d):
         return []
+    d = np.sort(d)
     cut = np.flatnonzero(np.diff(d) > 1)
     starts, ends = np.concatenate([d[:1], d[cut + 1]]), np.concatenate([d[cut], d[-1:]]) + 1
     return [{"s": int(a), "e": int(b)} for a, b in zip(starts, ends)]
@@ -67,18 +67,22 @@ def raster(kind: str, flat_pts: np.ndarray, bounds: Bounds, order: int) -> tuple
     lo = np.maximum(np.floor([gx.min(), gy.min()]).astype(int) - 1, 0)
     hi = np.minimum(np.floor([gx.max(), gy.max()]).astype(int) + 1, side - 1)
     edge = np.zeros((hi[0] - lo[0] + 1, hi[1] - lo[1] + 1), bool)
+    marks = np.zeros((edge.shape[0] + 1, edge.shape[1]), np.int32)  # +1 where a span of cells starts, -1 past its end
     for i in range(max(1, len(gx) - 1)):
         j = min(i + 1, len(gx) - 1)
         # Rows of cells that the edge crosses, with the span of x in each, a little wider than exact.
-        ylo, yhi = sorted((gy[i], gy[j]))
-        for row in range(max(int(ylo - 1e-6), lo[1]), min(int(yhi + 1e-6), hi[1]) + 1):
-            if gy[i] == gy[j]:
-                xs = (gx[i], gx[j])
-            else:
-                t = np.clip((np.array([row - 1e-6, row + 1 + 1e-6]) - gy[i]) / (gy[j] - gy[i]), 0, 1)
-                xs = gx[i] + t * (gx[j] - gx[i])
-            a, b = int(max(min(xs) - 1e-6, 0)), int(max(xs) + 1e-6)
-            edge[max(a - lo[0], 0) : b - lo[0] + 1, row - lo[1]] = True
+        ylo, yhi = min(gy[i], gy[j]), max(gy[i], gy[j])
+        row = np.arange(max(int(ylo - 1e-6), lo[1]), min(int(yhi + 1e-6), hi[1]) + 1)
+        if gy[i] == gy[j]:
+            xs = np.array([[gx[i]], [gx[j]]])
+        else:
+            t = np.clip((np.stack([row - 1e-6, row + 1 + 1e-6]) - gy[i]) / (gy[j] - gy[i]), 0, 1)
+            xs = gx[i] + t * (gx[j] - gx[i])
+        a = np.maximum(np.maximum(xs.min(axis=0) - 1e-6, 0).astype(int) - lo[0], 0)
+        b = np.minimum((xs.max(axis=0) + 1e-6).astype(int) - lo[0] + 1, edge.shape[0])
+        marks[a, row - lo[1]] += 1
+        marks[b, row - lo[1]] -= 1
+    edge |= np.cumsum(marks, axis=0)[:-1] > 0
     at = np.nonzero(edge)
     every = hilbert(order, at[0] + lo[0], at[1] + lo[1])
     full = np.zeros(0, np.int64)
@@ -95,7 +99,7 @@ def raster(kind: str, flat_pts: np.ndarray, bounds: Bounds, order: int) -> tuple
 
 
 def with_intervals(df: DataFrame, bounds: Bounds, order: int) -> DataFrame:
-    """Adds april, a struct of the two lists."""
+    """Adds april, a struct of the two lists. Rows are dealt evenly first, as a shape costs far more to raster than to move."""
 
     @F.arrow_udf(f"all_: {INTERVALS}, full_: {INTERVALS}")
     def run(kinds: pa.Array, rows: pa.Array) -> pa.Array:
@@ -103,19 +107,36 @@ def with_intervals(df: DataFrame, bounds: Bounds, order: int) -> DataFrame:
         item = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         return pa.StructArray.from_arrays([pa.array([a for a, _ in made], item), pa.array([b for _, b in made], item)], names=["all_", "full_"])
 
-    return df.withColumn("april", run(F.col("gtype"), g.flat(F.col("pts"))))
+    spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4)
+    return spread.withColumn("april", run(F.col("gtype"), g.flat(F.col("pts"))))
 
 
-def lists_meet(a: Column, b: Column) -> Column:
-    """Half-open intervals of two lists that share a place."""
-    return F.exists(a, lambda i: F.exists(b, lambda j: (i["s"] < j["e"]) & (j["s"] < i["e"])))
+def _laid_out(lists: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of every interval; each row on a stretch of the line of its own."""
+    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten()
+    base = rows << (2 * order + 1)
+    return rows, flat.field("s").to_numpy() + base, flat.field("e").to_numpy() + base
+
+
+def lists_meet(a: Column, b: Column, order: int) -> Column:
+    """Half-open intervals of two sorted lists that share a place; a batch of rows is one merge."""
+
+    @F.arrow_udf("boolean")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        (rows, start, end), (_, s, e) = _laid_out(a, order), _laid_out(b, order)
+        out = np.zeros(len(a), bool)
+        out[rows[np.searchsorted(s, end, "left") > np.searchsorted(e, start, "right")]] = True
+        return pa.array(out)
+
+    return run(a, b)
 
 
 def list_within(a: Column, b: Column) -> Column:
     return F.forall(a, lambda i: F.exists(b, lambda j: (j["s"] <= i["s"]) & (i["e"] <= j["e"])))
 
 
-def verdict(r: Column, s: Column) -> Column:
+def verdict(r: Column, s: Column, order: int) -> Column:
     """Of intersection: MISS, HIT or UNSURE."""
-    return (F.when(~lists_meet(r["all_"], s["all_"]), "MISS")
-            .when(lists_meet(r["all_"], s["full_"]) | lists_meet(r["full_"], s["all_"]), "HIT").otherwise("UNSURE"))
+    return (F.when(~lists_meet(r["all_"], s["all_"], order), "MISS")
+            .when(lists_meet(r["all_"], s["full_"], order) | lists_meet(r["full_"], s["all_"], order), "HIT").otherwise("UNSURE"))

@@ -94,16 +94,15 @@ def predicate_join(r: Geometries, s: Geometries, predicate, n: int | None = None
             possible = name == "intersect" or (name == "inside") == (p == "r")
             pairs = pairs.where(test(F.col(f"xmin_{p}"), F.col(f"ymin_{p}"), F.col(f"edges_{q}")) if possible else F.lit(False))
         else:
-            exact = predicate_column(name, F.col("gtype_r"), g.flat(F.col("pts_r")), F.col("gtype_s"), g.flat(F.col("pts_s")))
-            if not april_order:
-                pairs = _spread(pairs).where(exact)
-            else:  # what the intervals decide does not reach the kernel
-                pairs = pairs.withColumn("verdict", verdict(F.col("april_r"), F.col("april_s")))
-                accept = {"intersect": "HIT", "disjoint": "MISS"}.get(name, "")
-                reject = "HIT" if name == "disjoint" else "MISS"
-                open_ = pairs.where(~F.col("verdict").isin(accept, reject))
-                open_ = _spread(open_).where(exact)
-                pairs = pairs.where(F.col("verdict") == accept).unionByName(open_) if accept else open_
+            known = None
+            if april_order:  # what the intervals decide does not reach the kernel
+                seen = verdict(F.col("april_r"), F.col("april_s"), april_order)
+                answers = {"intersect": (True, False), "disjoint": (False, True)}.get(name, (None, False))
+                known = F.when(seen == "HIT", F.lit(answers[0]).cast("boolean")).when(seen == "MISS", F.lit(answers[1]))
+                pairs = pairs.withColumn("known", known).drop("april_r", "april_s")
+                known = F.col("known")
+            shapes = [F.col("gtype_r"), g.flat(F.col("pts_r")), F.col("gtype_s"), g.flat(F.col("pts_s"))]
+            pairs = _spread(pairs).where(predicate_column(name, *shapes, known))
     return pairs.select(F.col("rec_id_r").alias("id_r"), F.col("rec_id_s").alias("id_s"))
 
 

@@ -122,3 +122,37 @@ def test_streamed_ranges(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select * from hits").collect()] == [(4, 1)]
+
+
+def test_quick_cases_agree_with_the_exact_kernel():
+    """What doubles decide with certainty is what the exact kernel says, over rings and lines that touch, cross or nest."""
+    import random
+
+    import numpy as np
+
+    from quadrille.functions import kernels as k
+
+    rng = random.Random(5)
+
+    def ring():
+        x, y, r = rng.randint(0, 8), rng.randint(0, 8), rng.randint(1, 5)
+        step = rng.choice([1, 0.1, 1e6])
+        corners = rng.choice([[(-r, 0), (0, r), (r, 0), (0, -r)], [(0, 0), (r, 0), (r, r), (0, r)], [(0, 0), (r + 1, 1), (1, r + 1)]])
+        pts = [((x + a) * step, (y + b) * step) for a, b in corners]
+        return "POLYGON", np.array([v for p in [*pts, pts[0]] for v in p], float)
+
+    def line():
+        return "LINESTRING", np.array([rng.randint(0, 9) for _ in range(6)], float)
+
+    sides = [[ring() if rng.random() < 0.7 else line() for _ in range(3000)] for _ in range(2)]
+    (kr, r), (ks, s) = ([list(x) for x in zip(*side)] for side in sides)
+    cases, seen = k.quick_cases(kr, r, ks, s), set()
+    for a, g, b, h, case in zip(kr, r, ks, s, cases.tolist()):
+        if case == k.OPEN:
+            continue
+        x, y = k.shapes(a, g, b, h)
+        assert k.intersects(x, y) == (case != k.APART)
+        if a == b == "POLYGON":
+            seen.add(case)
+            assert k.relate(x, y) == k.POLYGON_MATRICES[case]
+    assert seen == {k.CROSS, k.R_IN_S, k.S_IN_R, k.APART}
