@@ -28,6 +28,8 @@ HALF_FACTOR = 0.40
 #: A distance's bin is floor(BIN_PARTS * log2(1 + distance)).
 BIN_PARTS = 64
 DIMS = len(FLOORS)
+#: A table of one small row a group is broadcast up to so many groups (about 20 MB); beyond it, rows meet their group by shuffle.
+MOST_BROADCAST_GROUPS = 100_000
 
 
 def text_stats(text: Column) -> list[tuple[str, Column]]:
@@ -91,6 +93,11 @@ def distance(x: list[Column], mean: list[Column], cov: dict[tuple[int, int], Col
     return form / det
 
 
+def _few(groups: DataFrame, n: int) -> DataFrame:
+    """A table of n or fewer rows, to be joined with: broadcast where n is small, so that a large group is not sent to one task."""
+    return F.broadcast(groups) if n <= MOST_BROADCAST_GROUPS else groups
+
+
 def _scatter(model: DataFrame) -> DataFrame:
     """Adds the floors to a group's raw scatter, widened to that of the whole."""
     out = model
@@ -109,17 +116,17 @@ def _moments(rows: DataFrame) -> DataFrame:
     return _scatter(out)
 
 
-def _distances(rows: DataFrame, model: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, model: DataFrame, n: int) -> DataFrame:
     x = [F.col(f"x{i}") for i in range(DIMS)]
     cov = {(i, j): F.col(f"c{i}{j}") for i in range(DIMS) for j in range(i, DIMS)}
     d2 = F.greatest(distance(x, [F.col(f"m{i}") for i in range(DIMS)], cov), F.lit(0.0))
-    return rows.join(model, "g_").withColumn("d2_", d2)
+    return rows.join(_few(model, n), "g_").withColumn("d2_", d2)
 
 
-def mcd_models(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+def mcd_models(rows: DataFrame, n: int, steps: int = STEPS) -> DataFrame:
     """A row a group g_: location m0.. and scatter c00.. of its nearest half, after concentration steps.
 
-    rows: g_, x0, x1, x2, all non-null. The start has location and spread of the middle of each statistic.
+    rows: g_, x0, x1, x2, all non-null, of n groups at most. The start has location and spread of the middle of each statistic.
     """
     mids = [F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(DIMS)]
     start = rows.groupBy("g_").agg(*mids)
@@ -127,12 +134,12 @@ def mcd_models(rows: DataFrame, steps: int = STEPS) -> DataFrame:
                          *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) * HALF_FACTOR if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in range(DIMS) for j in range(i, DIMS)])
     model = staged(_scatter(start), "mcd-start")
     for k in range(steps):
-        near = _distances(rows, model).withColumn("bin_", F.floor(F.log2(1 + F.col("d2_")) * BIN_PARTS).cast("int"))
+        near = _distances(rows, model, n).withColumn("bin_", F.floor(F.log2(1 + F.col("d2_")) * BIN_PARTS).cast("int"))
         bins = near.groupBy("g_", "bin_").agg(F.count(F.lit(1)).alias("n_"))
         upward = Window.partitionBy("g_").orderBy("bin_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         bins = bins.withColumn("upto_", F.sum("n_").over(upward)).withColumn("all_", F.sum("n_").over(Window.partitionBy("g_")))
         half = bins.where(2 * F.col("upto_") >= F.col("all_")).groupBy("g_").agg(F.min("bin_").alias("half_"))
-        model = staged(_moments(near.join(half, "g_").where(F.col("bin_") <= F.col("half_")).select("g_", *[f"x{i}" for i in range(DIMS)])), f"mcd-{k}")
+        model = staged(_moments(near.join(_few(half, n), "g_").where(F.col("bin_") <= F.col("half_")).select("g_", *[f"x{i}" for i in range(DIMS)])), f"mcd-{k}")
     return model
 
 
@@ -159,14 +166,15 @@ def quality_rules(stats: DataFrame, id_col: str = "doc_id", lang_col: str = "lan
     groups = n2.join(n1, "k1_", "left").crossJoin(rest)  # rest is one row: a constant for the whole table
     g = F.when(F.col("n2_") >= min_group, F.concat(F.lit("2"), F.col("k2_"))).when(F.col("n1_") >= min_group, F.concat(F.lit("1"), F.col("k1_"))).when(F.col("n0_") >= min_group, F.lit("0"))
     groups = staged(groups.select("k2_", g.alias("g_")), "groups")
+    n = groups.count()
     x = transformed()
-    grouped = rows.join(groups, "k2_", "left").withColumns({f"x{i}": x[i] for i in range(DIMS)})
-    model = mcd_models(grouped.where(~F.col("base_failed") & F.col("g_").isNotNull()).select("g_", *[f"x{i}" for i in range(DIMS)]))
+    grouped = rows.join(_few(groups, n), "k2_", "left").withColumns({f"x{i}": x[i] for i in range(DIMS)})
+    model = mcd_models(grouped.where(~F.col("base_failed") & F.col("g_").isNotNull()).select("g_", *[f"x{i}" for i in range(DIMS)]), n)
     m = model.withColumnRenamed("g_", "gm_")
     cov = {(i, j): F.col(f"c{i}{j}") for i in range(DIMS) for j in range(i, DIMS)}
     xs = [F.col("x0"), F.greatest(F.col("x1"), F.col("m1")), F.greatest(F.col("x2"), F.col("m2"))]
     d2 = distance(xs, [F.col(f"m{i}") for i in range(DIMS)], cov)
-    out = grouped.join(m, F.col("g_") == F.col("gm_"), "left").withColumn("distance", F.when(~F.col("base_failed"), d2))
+    out = grouped.join(_few(m, n), F.col("g_") == F.col("gm_"), "left").withColumn("distance", F.when(~F.col("base_failed"), d2))
     return out.select(*names, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
 
 
