@@ -23,6 +23,8 @@ CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 ROUNDS = 150
+#: Counts by task and length are broadcast up to so many rows (about 12 MB); beyond it, pieces meet them by a sorted shuffle.
+MOST_BROADCAST_COUNTS = 100_000
 
 
 # ---------------------------------------------------------------- tokens to pieces
@@ -186,9 +188,10 @@ def best_fit_pack(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     pieces = staged(pieces_of(docs, vocabulary or public_path(VOCABULARY), id_col, text_col, capacity), "pieces")
     counts = staged(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
-    hist = np.zeros(capacity + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
+    hist, n_counts = np.zeros(capacity + 1, np.int64), 0
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect():  # at most `capacity` rows
         hist[r["length"]] = r["n"]
+        n_counts += r["rows"]
     plan = make_plan(hist, capacity)
     by_task = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("task", "length", F.coalesce(F.sum("n").over(by_task), F.lit(0)).alias("base"))
@@ -207,6 +210,7 @@ def best_fit_pack(docs: DataFrame, vocabulary: str | None = None, id_col: str =
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)],
                                              names=[*names, "sequence_id", "offset"])
 
+    base = F.broadcast(base) if n_counts <= MOST_BROADCAST_COUNTS else base.hint("merge")
     placed = pieces.join(base, ["task", "length"]).select(*names, "nth", "base")
     return placed.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
