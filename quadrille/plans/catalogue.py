@@ -67,8 +67,9 @@ def diamond_part(spark, sf, shift=0):
     return source.from_vertices(_table(spark, sf, "part"), F.col("p_partkey"), DataType.POLYGON, pts)
 
 
-def seg_lineitem(spark, sf):
-    t = _table(spark, sf, "lineitem").where("l_linenumber = 1")
+def seg_lineitem(spark, sf, first_only=True):
+    t = _table(spark, sf, "lineitem")
+    t = t.where("l_linenumber = 1") if first_only else t
     y = F.col("l_suppkey").cast("double")
     return source.from_vertices(t, _line_id(), DataType.LINESTRING, F.array(_corner(F.col("l_partkey"), y), _corner(F.col("l_partkey") + F.col("l_quantity"), y)))
 
@@ -342,3 +343,37 @@ SELECT id AS rec_id, d FROM h WHERE s = 0""")
 def hilbert_encode(spark, sf):
     p = pts_customer(spark, sf).df
     return p.select("rec_id", hilbert_column(10, F.col("xmin").cast("long") % 1024, F.pmod(F.col("ymin").cast("long"), F.lit(1024))).alias("d"))
+
+
+# ---------------------------------------------------------------- whole line items
+
+# The queries above that read line items take an order's first one, and so does their SQL. These take every row.
+
+
+def _every(name: str):
+    return query(ORACLES[name].replace(" WHERE l_linenumber = 1", ""))
+
+
+@_every("range_box_areas")
+def range_box_areas_all(spark, sf):
+    return selection.range_batch(box_lineitem(spark, sf, first_only=False), line_windows(spark, sf))
+
+
+@_every("range_linestrings")
+def range_linestrings_all(spark, sf):
+    return selection.range_batch(seg_lineitem(spark, sf, first_only=False), line_windows(spark, sf))
+
+
+@_every("box_find_relation_count")
+def box_find_relation_count_all(spark, sf):
+    return joins.relation_counts(joins.find_relation(box_lineitem(spark, sf, first_only=False), box_part(spark, sf)))
+
+
+@_every("segment_box_intersect_join")
+def segment_box_intersect_join_all(spark, sf):
+    return joins.predicate_join(seg_lineitem(spark, sf, first_only=False), box_part(spark, sf), "intersect")
+
+
+@_every("dataset_bounds")
+def dataset_bounds_all(spark, sf):
+    return source.dataset_bounds(box_lineitem(spark, sf, first_only=False))
