@@ -246,6 +246,14 @@ def test_quality(spark, docs, none, rows):
     assert all(kept[i] for i, *_ in good) and not any(kept[i] for i, *_ in junk)
 
 
+def test_quality_rejects_text_with_a_mark_every_fifth_word(spark):
+    good = [(i, prose(i, 80), "en", "a") for i in range(300)]
+    marked = [(1000 + i, " | ".join(" ".join(p) for p in zip(*[iter(prose(i, 80).split())] * 4)), "en", "a") for i in range(20)]
+    both = spark.createDataFrame(good + marked, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(quality.with_stats(both, "text", [F.col("doc_id"), F.col("lang"), F.col("source")])).collect()}
+    assert all(kept[i] for i, *_ in good) and not any(kept[i] for i, *_ in marked)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body class="with-sidebar"><header>Top</header>
 <nav><ul><li><a href="/x">Menu, one.</a></ul></nav><div class="ad">Buy this, now.</div><%s><h1>Title &amp; more</h1><p><b>First line,
  with   spaces.<br><p>Second &lt;one&gt;, longer text here, with marks.</p><ul><li>Item<li>Other</ul><section id="comments"><p>A reader, long remark, says this and that.</p></section>
