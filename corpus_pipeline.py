@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import staged, table
 from quadrille.llm.exact_dedup import exact_dedup
+from quadrille.llm.jaccard import jaccard_dedup
 from quadrille.llm.mixing import pareto_mix
 from quadrille.llm.packing import best_fit_pack
 from quadrille.llm.quality import quality_rules, with_stats
-from quadrille.llm.simhash import simhash_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,9 +34,9 @@ def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each near-duplicate component; rows without an id stay."""
+    """Keeps the document of smallest id of each component of texts whose sets of five words have similarity 0.8; rows without an id stay."""
     docs = docs.select(*COLUMNS)
-    dropped = simhash_dedup(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id_r")).distinct()
+    dropped = jaccard_dedup(docs, "doc_id", F.xxhash64("text", "lang", "source")).select(F.col("id").alias("id_r")).distinct()
     return docs.join(dropped, F.col("doc_id") == F.col("id_r"), "left_anti")
 
 

@@ -1,0 +1,126 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+MinHash bands propose: rows that agree in a band are candidates, and 30 bands of 5 hashes miss a pair of similarity 0.8 with odds
+of 7 in a million. Candidates are gathered by the components of the bands' stars, and each pair that shares a band is
+confirmed by its whole sets of shingles, but for pairs that are linked already. A large component is dealt out as pairs of chunks.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quadrille.llm.common import staged
+from quadrille.llm.simhash import SEED, components
+
+SHINGLE = 5
+BANDS, ROWS = 30, 5
+CHUNK = 2048
+_FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _FACTORS.reshape(BANDS, ROWS)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of words, sorted, each once; a shorter text is one run. Words as fingerprints take them."""
+    import xxhash
+
+    words = text.encode().lower().split() if text else []
+    n, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k : k + shingle]), SEED) for k in range(n)], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band; one factor a hash, so that the least product falls to another shingle each time."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 1024):
+        part = hashes[at : at + 1024, None] * _FACTORS
+        least = np.minimum(least, (part ^ part >> np.uint64(29)).min(axis=0))
+    keys = (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    keys = (keys ^ keys >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return keys.view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    low, high = sorted((len(a), len(b)))
+    if 100 * low < percent * high:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (low + high - both)
+
+
+def confirmed(sets: list[np.ndarray], keys: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (places) that span what is similar among pairs that share a band. keys: a row a set, a column a band."""
+    n, found, tried = len(sets), [], set()
+    label = np.arange(n)
+    for k in range(keys.shape[1]):
+        order = np.argsort(keys[:, k], kind="stable")
+        cuts = np.flatnonzero(np.diff(keys[order, k])) + 1
+        for rest in np.split(order, cuts):
+            while len(rest) > 1 and (label[rest] != label[rest[0]]).any():
+                p, rest = rest[0], rest[1:]
+                for j in rest[label[rest] != label[p]].tolist():
+                    pair = (min(p, j), max(p, j))
+                    if label[j] == label[p] or pair in tried:
+                        continue
+                    tried.add(pair)
+                    if similar(sets[p], sets[j], percent):
+                        found.append((p, j))
+                        label[label == label[j]] = label[p]
+    return found
+
+
+def jaccard_dedup(df: DataFrame, id_col: str, content: Column, text_col: str = "text", percent: int = 80, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """id, content, root_id, root_content of each distinct row that is not the least of its component of similar texts.
+
+    A row is known by id and content, so that two texts of one id are two nodes. Rows without an id take no part.
+    """
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), content.cast("long").alias("content"), F.col(text_col).alias("text"))
+
+    def sign(batches):
+        for batch in batches:
+            keys = [bands(shingles(t.as_py(), shingle)) for t in batch.column(2)]
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, flat)], names=["id", "content", "bands"])
+
+    node = F.struct("id", "content")
+    marks = staged(rows.mapInArrow(sign, "id long, content long, bands array<long>"), "bands")
+    keyed = marks.select(node.alias("node"), F.explode("bands").alias("key"))
+    least = staged(keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least"), "shared-bands")
+    stars = keyed.join(least, "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    near = components(stars, "candidates")
+    near = near.select("node", "root").union(near.select(F.col("root").alias("node"), "root").distinct())
+    near = staged(near.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select("node", "root", "n"), "candidates")
+
+    m = F.ceil(F.col("n") / chunk).cast("int")
+    dealt = near.select("node.id", "node.content", "root", m.alias("m"), F.pmod(F.xxhash64("node", F.lit(7)), m).cast("int").alias("c"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = dealt.select("id", "content", F.xxhash64("root", F.least("c", "o"), F.greatest("c", "o")).alias("key"))
+    texts = rows.join(dealt, ["id", "content"]).select("key", "id", "content", "text")
+
+    def compare(batches):
+        key, held = None, []
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key and held:
+                    yield from emit(held)
+                    held = []
+                key = k
+                held.append((row[0], row[1], shingles(row[2], shingle)))
+        if held:
+            yield from emit(held)
+
+    def emit(held):
+        sets = [h[2] for h in held]
+        found = confirmed(sets, np.stack([bands(s) for s in sets]), percent) if len(held) > 1 else []
+        if found:
+            a, b = ([held[i] for i in side] for side in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in side], pa.int64()) for side in (a, b) for c in (0, 1)], names=["ai", "ac", "bi", "bc"])
+
+    spread = texts.repartition("key").sortWithinPartitions("key")
+    links = spread.mapInArrow(compare, "ai long, ac long, bi long, bc long")
+    pair = lambda i, c: F.struct(F.col(i).alias("id"), F.col(c).alias("content"))
+    out = components(links.select(pair("ai", "ac").alias("a"), pair("bi", "bc").alias("b")), "near")
+    return out.select("node.id", "node.content", F.col("root.id").alias("root_id"), F.col("root.content").alias("root_content"))
