@@ -34,10 +34,13 @@ def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each component of texts whose sets of five words have similarity 0.8; rows without an id stay."""
-    docs = docs.select(*COLUMNS)
-    dropped = jaccard_dedup(docs, "doc_id", F.xxhash64("text", "lang", "source")).select(F.col("id").alias("id_r")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("id_r"), "left_anti")
+    """Keeps the document of smallest id of each component of texts whose sets of five words have similarity 0.8; rows without an id stay.
+
+    What is dropped is tied to id and content, so one text of a repeated id may stay where another goes.
+    """
+    docs, content = docs.select(*COLUMNS), F.xxhash64("text", "lang", "source")
+    dropped = jaccard_dedup(docs, "doc_id", content).select(F.col("id").alias("id_r"), F.col("content").alias("content_r"))
+    return docs.join(dropped, (F.col("doc_id") == F.col("id_r")) & (content == F.col("content_r")), "left_anti")
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,11 @@ def test_jaccard_components_do_not_depend_on_chunks(spark):
     for chunk in (4, 2048):
         got = {r.id: r.root_id for r in jaccard.jaccard_dedup(docs, "doc_id", F.xxhash64("text"), chunk=chunk).collect()}
         assert got == {i: r for i, r in enumerate(label) if i != r}
+
+
+def test_near_keeps_the_other_text_of_a_repeated_id(spark):
+    a, b = words(1, 300), words(2, 300)
+    rows = [(1, a), (2, changed(a, "a", 2)), (2, b), (3, changed(b, "b", 2))]  # id 2 goes with the first, and stands for the last
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "a", 1) for i, w in rows], DOCS)
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert kept == {(1, " ".join(a)), (2, " ".join(b))}
