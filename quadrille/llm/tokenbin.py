@@ -235,7 +235,9 @@ def token_shards(df: DataFrame, vocabulary: str | None = None, id_col: str = "do
     lie together; the index leads to the first. Other columns are not read. An empty table writes nothing.
     """
     folder = folder or new_dir(df.sparkSession, "ids")
-    return read_shards(write_shards(df, folder, vocabulary or public_path(VOCABULARY), id_col, text_col), folder)
+    path = vocabulary or public_path(VOCABULARY)
+    width = encoder(path).width()
+    return read_shards(write_shards(df, folder, path, id_col, text_col, width), folder, width)
 
 
 def op7_token_ids(spark, sf_dir) -> DataFrame:

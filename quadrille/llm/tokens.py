@@ -60,6 +60,12 @@ class TextEncoder:
 
     def __init__(self, path: str, limit: int = 700_000):
         self.ids = _Ids(path, limit)
+        # Tokenizers that keep white space in their pieces are asked for whole texts.
+        self.whole = self.ids.ask(b" stone  river\n") != self.ids.ask(b"stone") + self.ids.ask(b"river")
+
+    def width(self) -> int:
+        """Bytes that the largest id takes in a shard: 2 or 4."""
+        return 2 if max(self.ids.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
 
     @staticmethod
     def words(text: str) -> list[bytes]:
@@ -72,6 +78,8 @@ class TextEncoder:
         return text.encode().split()
 
     def encode(self, text: str | None) -> bytes:
+        if self.whole:
+            return self.ids.ask(text.encode()) if text else b""
         return b"".join(map(self.ids.__getitem__, self.words(text))) if text else b""
 
 

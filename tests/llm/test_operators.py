@@ -202,6 +202,19 @@ def test_token_shards(docs, none, rows, tmp_path):
     assert tokenbin.token_shards(none).collect() == []
 
 
+def test_token_shards_of_large_and_byte_level_vocabularies(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({f"w{k}": k for k in range(70000)}, unk_token="w0"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    made.save(str(tmp_path / "large.json"))
+    text = "w69999 w5  w65536\nand the river"
+    for path in (str(tmp_path / "large.json"), tokens.public_path("byte_bpe_50k.json")):
+        ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [tokens.END_ID]
+        [got] = tokenbin.token_shards(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).collect()
+        assert (got.n_tokens, got.ids_crc32) == (len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(0).choice(10**12, 20_000, replace=False)
     assert sorted(tokenbin.PerfectHash.build(keys)(keys).tolist()) == list(range(20_000))
