@@ -64,7 +64,8 @@ def read_wkt(spark: SparkSession, path: str, kind, validate: bool = True) -> Geo
 def read_csv(spark: SparkSession, path: str, kind, validate: bool = True) -> Geometries:
     """`id,x y,x y,...` after a first line with the number of objects; coordinates have single precision."""
     kind = member(DataType, kind)
-    rows = numbered_lines(spark, path).where(F.col("line") > 0).select((F.col("line") - 1).alias("rec_id"), F.slice(F.split("value", ","), 2, 1 << 20).alias("parts"))
+    fields = F.split("value", ",")
+    rows = numbered_lines(spark, path).where(F.col("line") > 0).select((F.col("line") - 1).alias("rec_id"), F.slice(fields, 2, F.size(fields)).alias("parts"))
     at = lambda p, i: F.get(F.split(F.trim(p), r"\s+"), F.lit(i)).try_cast("float").cast("double")
     rows = rows.withColumn("raw", F.transform("parts", lambda p: F.struct(at(p, 0).alias("x"), at(p, 1).alias("y"))))
     rows = rows.where((F.size("raw") > 0) & F.forall("raw", lambda p: p["x"].isNotNull() & p["y"].isNotNull()))

@@ -172,3 +172,10 @@ def test_whole_line_items_agree_with_sql(spark, name):
     want = con.execute(ORACLES[key])
     names = [d[0] for d in want.description]
     assert sorted(tuple(r) for r in QUERIES[key](spark, sf).select(*names).collect()) == sorted(want.fetchall())
+
+
+def test_csv_keeps_every_vertex(spark, tmp_path):
+    n = (1 << 20) + 3
+    (tmp_path / "long.csv").write_text("1\n0," + ",".join(f"{k % 7} 1" for k in range(n)) + "\n")
+    read = source.read_csv(spark, str(tmp_path / "long.csv"), "LINESTRING", validate=False)
+    assert [r[0] for r in read.df.select(F.size("pts")).collect()] == [n]
