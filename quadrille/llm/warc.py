@@ -52,17 +52,24 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 
 class Inflated:
-    """A gzip file of one or many members as one stream of bytes, inflated once, a block at a time."""
+    """A gzip file of one or many members as one stream of bytes, inflated once, a block at a time.
+
+    A file that ends before its last member does is an error: zlib then never saw the member's checksum and length.
+    """
 
     def __init__(self, source):
         self.source, self.inflate, self.data, self.at, self.rest = source, zlib.decompressobj(31), b"", 0, b""
+        self.begun = False
 
     def more(self) -> bool:
         while True:
             raw = self.rest or self.source.read(BLOCK)
             self.rest = b""
             if not raw:
+                if self.begun and not self.inflate.eof:
+                    raise ValueError("the archive ends within a gzip member")
                 return False
+            self.begun = True
             if self.inflate.eof:
                 self.inflate = zlib.decompressobj(31)
             out = self.inflate.decompress(raw, 4 * BLOCK)
@@ -177,24 +184,29 @@ def normalise_stream(source, out, sidecar) -> int:
 
 
 def normalise(manifest: DataFrame, folder: str, share: int = 4096) -> DataFrame:
-    """Normalises the archives of a manifest. A row for each share of records: path, sidecar, at (first), records."""
+    """Normalises the archives of a manifest. A row for each share of records: path, sidecar, at (first), records.
+
+    An archive that ends early, or that has another number of records than its manifest says, is an error.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         fs, root = filesystem(folder)
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, expected in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
                 stem = f"{root}/{path.rsplit('/', 1)[1].removesuffix('.warc.gz')}-{TaskContext.get().taskAttemptId()}"
                 with fs.open_input_stream(path, compression=None) as source, fs.open_output_stream(f"{stem}.norm.warc.gz", compression=None) as out, fs.open_output_stream(f"{stem}.idx", compression=None) as sidecar:
                     n = normalise_stream(source, out, sidecar)
+                if n != expected:
+                    raise ValueError(f"{path}: {n} records, and {expected} in the manifest")
                 first = list(range(0, n, share))
                 yield pa.RecordBatch.from_pydict({"path": [f"{stem}.norm.warc.gz"] * len(first), "sidecar": [f"{stem}.idx"] * len(first),
                                                   "at": first, "records": [min(share, n - k) for k in first]},
                                                  schema=pa.schema([("path", pa.string()), ("sidecar", pa.string()), ("at", pa.int64()), ("records", pa.int64())]))
 
     n = manifest.sparkSession.sparkContext.defaultParallelism * 8
-    return staged(manifest.select("path").repartition(n).mapInArrow(run, NORMAL), "normalised")
+    return staged(manifest.select("path", "records").repartition(n).mapInArrow(run, NORMAL), "normalised")
 
 
 # ---------------------------------------------------------------- reading
