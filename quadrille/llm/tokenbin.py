@@ -1,10 +1,12 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
-A shard is three files. `.ids`: a 16-byte header, then raw little-endian ids (16 bits where the vocabulary fits, else 32).
-`.keys`: the documents' keys in order and their lengths, for whole scans. `.mph`: the index. Its hash is built level by
-level: a key that has a cell of the level's bit array to itself is placed there, the others go to the next level; a key's
-number is the rank of its bit, so that n keys have the numbers 0 to n - 1. For each number the index stores a 32-bit
-fingerprint of the key, and where its ids lie; a key that is not there fails the fingerprint. A lookup reads one entry.
+A shard is three files. `.ids`: a 16-byte header with the width of an id, then raw little-endian ids (2 bytes where the
+vocabulary fits, else 4). `.keys`: the documents' keys in order and their lengths, for whole scans. `.mph`: the index. Its
+hash is built level by level: a key that has a cell of the level's bit array to itself is placed there, the others go to the
+next level; a key's number is the rank of its bit, so that n keys have the numbers 0 to n - 1. Ranks are stored with the bits,
+a block of 64 bytes each. For each number the index stores a 32-bit fingerprint of the key, and where its ids lie; a key that
+is not there fails the fingerprint. A lookup reads the header, a block for each level tried (two or three), one entry and the
+ids, whatever the shard's size.
 Files of a task carry its attempt's number and count only once its manifest row is committed.
 """
 
@@ -23,9 +25,14 @@ from quadrille.llm.tokens import END_ID, encoder, public_path
 
 VOCABULARY = "word_bpe_49k.json"
 MAGIC = b"QIDS"
-VERSION = 1
+VERSION = 2
 GAMMA = 1.5
 MAX_LEVELS = 40
+#: A block of a level's bits: a rank of 8 bytes and 448 bits.
+BLOCK = 64
+BLOCK_BITS = 8 * (BLOCK - 8)
+HEAD, LEVEL, IDS_HEAD = struct.Struct("<HHq"), struct.Struct("<qq"), struct.Struct("<HHq")
+ENTRY = np.dtype([("mark", "<u4"), ("count", "<u4"), ("start", "<i8"), ("length", "<i8")])
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -41,7 +48,7 @@ def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit integers."""
+    """Minimal perfect hash of distinct 64-bit integers: a bit array for each level."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
@@ -80,56 +87,112 @@ class PerfectHash:
 
 
 def pack_index(keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> bytes:
-    """Index file of distinct keys: where the first document of each lies, ids in it, documents that share the key."""
+    """Index file of distinct keys: where the first document of each lies, ids in it, documents that share the key.
+
+    Header; size and first block of each level; blocks of BLOCK bytes, each the rank before it and BLOCK_BITS bits of a
+    level; entries. Every part has a place that the header gives, so that one key is found by a few short reads.
+    """
     mph = PerfectHash.build(keys)
     place = mph(keys)
-    entry = np.zeros(len(keys), [("mark", "<u4"), ("count", "<u4"), ("start", "<i8"), ("length", "<i8")])
-    entry["mark"][place] = (mixed(keys, 99) >> np.uint64(32)).astype(np.uint32)
+    entry = np.zeros(len(keys), ENTRY)
+    entry["mark"][place] = marks_of(keys)
     for name, x in (("count", counts), ("start", starts), ("length", lengths)):
         entry[name][place] = x
-    parts = [MAGIC, struct.pack("<HHq", VERSION, len(mph.levels), len(keys))]
+    head, blocks, first, rank = [], [], 0, 0
     for bits in mph.levels:
-        parts += [struct.pack("<q", len(bits)), np.packbits(bits, bitorder="little").tobytes()]
-    return b"".join([*parts, entry.tobytes()])
+        n = -(-len(bits) // BLOCK_BITS)
+        wide = np.zeros(n * BLOCK_BITS, bool)
+        wide[: len(bits)] = bits
+        ones = wide.reshape(n, BLOCK_BITS).sum(1)
+        part = np.zeros(n, [("rank", "<i8"), ("bits", "u1", BLOCK_BITS // 8)])
+        part["rank"] = rank + np.cumsum(ones) - ones
+        part["bits"] = np.packbits(wide.reshape(n, BLOCK_BITS), axis=1, bitorder="little")
+        head.append(LEVEL.pack(len(bits), first))
+        blocks.append(part.tobytes())
+        first, rank = first + n, rank + int(ones.sum())
+    return b"".join([MAGIC, HEAD.pack(VERSION, len(mph.levels), len(keys)), *head, *blocks, entry.tobytes()])
+
+
+def marks_of(keys: np.ndarray) -> np.ndarray:
+    return (mixed(keys, 99) >> np.uint64(32)).astype(np.uint32)
 
 
 class Index:
-    """Reads an index file: the place of a key's ids in constant time."""
+    """Finds a key's place in an open index file: the header once, then a block for each level tried and one entry."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, file):
+        self.file = file
+        if self._read(0, 4) != MAGIC:
             raise ValueError("not an index")
-        _, n_levels, n = struct.unpack_from("<HHq", data, 4)
-        at, levels = 16, []
-        for _ in range(n_levels):
-            (size,) = struct.unpack_from("<q", data, at)
-            width = -(-size // 8)
-            levels.append(np.unpackbits(np.frombuffer(data, np.uint8, width, at + 8), count=size, bitorder="little").astype(bool))
-            at += 8 + width
-        self.hash = PerfectHash(levels)
-        self.entry = np.frombuffer(data, [("mark", "<u4"), ("count", "<u4"), ("start", "<i8"), ("length", "<i8")], n, at)
-
-    def find(self, keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """starts, lengths, documents of the key; start -1 for keys that are not there (but for 1 in 2**32 of those)."""
+        version, n_levels, self.n = HEAD.unpack(self._read(4, HEAD.size))
+        if version != VERSION:
+            raise ValueError(f"index version {version}")
+        data = self._read(4 + HEAD.size, LEVEL.size * n_levels)
+        self.levels = [LEVEL.unpack_from(data, LEVEL.size * k) for k in range(n_levels)]
+        self.blocks_at = 4 + HEAD.size + len(data)
+        self.entries_at = self.blocks_at + BLOCK * sum(-(-size // BLOCK_BITS) for size, _ in self.levels)
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def find(self, key: int) -> tuple[int, int, int] | None:
+        """start, length, documents of the key; None for a key that is not there (but for 1 in 2**32 of those)."""
+        one = np.array([key], np.int64)
+        for k, (size, first) in enumerate(self.levels):
+            block, bit = divmod(int(mixed(one, k)[0]) % size, BLOCK_BITS)
+            data = self._read(self.blocks_at + BLOCK * (first + block), BLOCK)
+            bits = int.from_bytes(data[8:], "little")
+            if bits >> bit & 1:
+                number = int.from_bytes(data[:8], "little") + (bits & ((1 << bit) - 1)).bit_count()
+                (e,) = np.frombuffer(self._read(self.entries_at + ENTRY.itemsize * number, ENTRY.itemsize), ENTRY)
+                return (int(e["start"]), int(e["length"]), int(e["count"])) if e["mark"] == marks_of(one)[0] else None
+        return None
+
+    def find_all(self, keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """starts (-1: not there), lengths and documents of many keys; reads the file once."""
         keys = np.asarray(keys, np.int64)
-        if not len(self.entry):
-            return np.full(len(keys), -1), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        place = self.hash(keys)
-        e = self.entry[np.maximum(place, 0)]
-        ok = (place >= 0) & (e["mark"] == (mixed(keys, 99) >> np.uint64(32)).astype(np.uint32))
+        levels = []
+        for size, first in self.levels:
+            n = -(-size // BLOCK_BITS)
+            data = np.frombuffer(self._read(self.blocks_at + BLOCK * first, BLOCK * n), [("rank", "<i8"), ("bits", "u1", BLOCK_BITS // 8)])
+            levels.append(np.unpackbits(data["bits"].ravel(), bitorder="little")[:size].astype(bool))
+        place = PerfectHash(levels)(keys)
+        if not self.n:
+            return place, place * 0, place * 0
+        e = np.frombuffer(self._read(self.entries_at, ENTRY.itemsize * self.n), ENTRY)[np.maximum(place, 0)]
+        ok = (place >= 0) & (e["mark"] == marks_of(keys))
         return np.where(ok, e["start"], -1), np.where(ok, e["length"], 0), np.where(ok, e["count"], 0)
 
 
 # ---------------------------------------------------------------- shards
 
 
-def ids_header(width: int, n_docs: int) -> bytes:
-    return MAGIC + struct.pack("<HHq", VERSION, width, n_docs)
+def ids_header(width: int) -> bytes:
+    """Magic, version, width, eight bytes that are zero; the number of documents is in `.keys`."""
+    return MAGIC + IDS_HEAD.pack(VERSION, width, 0)
+
 
+def open_ids(file) -> int:
+    """Checks an id file's header; the width of an id in bytes."""
+    if file.read(4) != MAGIC:
+        raise ValueError("not an id file")
+    version, width, _ = IDS_HEAD.unpack(file.read(IDS_HEAD.size))
+    if version != VERSION or width not in (2, 4):
+        raise ValueError(f"id file of version {version}, width {width}")
+    return width
 
-def write_shards(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
+
+def read_ids(file, width: int, start: int, n: int) -> np.ndarray:
+    file.seek(4 + IDS_HEAD.size + width * start)
+    return np.frombuffer(file.read(width * n), f"<u{width}")
+
+
+def write_shards(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards, in ascending order of keys; a manifest row for each: shard, path, docs, ids."""
 
+    width = encoder(vocabulary).width()
+
     def write(batches):
         from pyspark import TaskContext
 
@@ -139,7 +202,7 @@ def write_shards(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc
         name = f"{root}/shard-{at.partitionId():06d}-{at.taskAttemptId()}"
         keys, lengths, total = [], [], 0
         out = fs.open_output_stream(f"{name}.ids")
-        out.write(ids_header(width, -1))
+        out.write(ids_header(width))
         for batch in batches:
             parts = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -149,7 +212,7 @@ def write_shards(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc
                 parts.append(ids)
             ids = np.frombuffer(b"".join(parts), "<u4")
             total += len(ids)
-            out.write(ids.astype("<u2").tobytes() if width == 2 else ids.tobytes())
+            out.write(ids.astype(f"<u{width}").tobytes())
         out.close()
         if not keys:
             fs.delete_file(f"{name}.ids")
@@ -166,11 +229,12 @@ def write_shards(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc
                                          schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     rows = df.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first())
-    return staged(ordered.mapInArrow(write, "shard long, path string, docs long, ids long"), "manifest")
+    salt = F.when(F.col("id").isNull(), F.xxhash64("text"))  # rows without a key are many or few; those with one stay together
+    ordered = rows.withColumn("salt", salt).repartitionByRange(F.col("id").asc_nulls_first(), F.col("salt")).sortWithinPartitions(F.col("id").asc_nulls_first(), "salt")
+    return staged(ordered.select("id", "text").mapInArrow(write, "shard long, path string, docs long, ids long"), "manifest")
 
 
-def read_shards(manifest: DataFrame, folder: str, width: int = 2) -> DataFrame:
+def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, its ids looked up by key in the index."""
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     parts = manifest.withColumn("base", F.coalesce(F.sum("ids").over(order), F.lit(0)))  # a row a shard
@@ -184,8 +248,8 @@ def read_shards(manifest: DataFrame, folder: str, width: int = 2) -> DataFrame:
                 n, nulls = struct.unpack_from("<qq", data)
                 keys = np.frombuffer(data, "<i8", n - nulls, 16)
                 lengths = np.frombuffer(data, "<i8", n, 16 + 8 * (n - nulls))
-                with fs.open_input_stream(f"{path}.mph") as f:
-                    starts, first_lengths, _ = Index(f.read()).find(keys)
+                with fs.open_input_file(f"{path}.mph") as f:
+                    starts, first_lengths, _ = Index(f).find_all(keys)
                 if (starts < 0).any():
                     raise ValueError(f"{path}: a key is not in the index")
                 # Documents that share a key lie together, from the indexed one on.
@@ -196,12 +260,10 @@ def read_shards(manifest: DataFrame, folder: str, width: int = 2) -> DataFrame:
                     raise ValueError(f"{path}: index and keys disagree")
                 at = np.where(np.concatenate([np.zeros(nulls, bool), new]), np.concatenate([scan[:nulls], starts]), scan)
                 with fs.open_input_file(f"{path}.ids") as f:
-                    if f.read(4) != MAGIC:
-                        raise ValueError(f"{path}: not an id file")
+                    width = open_ids(f)
                     for lo in range(0, n, 4096):
                         hi = min(n, lo + 4096)
-                        f.seek(16 + width * int(at[lo]))
-                        ids = np.frombuffer(f.read(width * int(lengths[lo:hi].sum())), "<u2" if width == 2 else "<u4").astype("<u4")
+                        ids = read_ids(f, width, int(at[lo]), int(lengths[lo:hi].sum())).astype("<u4")
                         raw, offs = memoryview(ids.tobytes()), (at[lo:hi] - at[lo]) * 4
                         crc = [zlib.crc32(raw[o : o + 4 * m]) for o, m in zip(offs.tolist(), lengths[lo:hi].tolist())]
                         named = [None] * max(0, nulls - lo) + keys[max(0, lo - nulls) : max(0, hi - nulls)].tolist()
@@ -212,19 +274,14 @@ def read_shards(manifest: DataFrame, folder: str, width: int = 2) -> DataFrame:
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(manifest_path: str, keys, width: int = 2) -> list[np.ndarray | None]:
-    """Ids of single documents of one shard, by key: one read for each."""
-    fs, at = filesystem(manifest_path)
-    with fs.open_input_stream(f"{at}.mph") as f:
-        starts, lengths, _ = Index(f.read()).find(keys)
+def lookup(shard_path: str, keys) -> list[np.ndarray | None]:
+    """Ids of single documents of one shard, by key; None for a key that is not there."""
+    fs, at = filesystem(shard_path)
     out = []
-    with fs.open_input_file(f"{at}.ids") as f:
-        for s, n in zip(starts.tolist(), lengths.tolist()):
-            if s < 0:
-                out.append(None)
-                continue
-            f.seek(16 + width * s)
-            out.append(np.frombuffer(f.read(width * n), "<u2" if width == 2 else "<u4"))
+    with fs.open_input_file(f"{at}.mph") as marks, fs.open_input_file(f"{at}.ids") as f:
+        index, width = Index(marks), open_ids(f)
+        for found in map(index.find, keys):
+            out.append(None if found is None else read_ids(f, width, *found[:2]))
     return out
 
 
@@ -232,12 +289,11 @@ def token_shards(df: DataFrame, vocabulary: str | None = None, id_col: str = "do
     """Writes df's ids as shards and reads them back: doc_id, start, n_tokens, ids_crc32, a row for each row of df.
 
     Null and empty texts are the end id alone. Null keys come first and are reached by scans only. Rows that repeat a key
-    lie together; the index leads to the first. Other columns are not read. An empty table writes nothing.
+    lie together; the index leads to the first. Other columns are not read, so their names do not matter. Texts of any length
+    are encoded whole. An empty table writes nothing.
     """
     folder = folder or new_dir(df.sparkSession, "ids")
-    path = vocabulary or public_path(VOCABULARY)
-    width = encoder(path).width()
-    return read_shards(write_shards(df, folder, path, id_col, text_col, width), folder, width)
+    return read_shards(write_shards(df, folder, vocabulary or public_path(VOCABULARY), id_col, text_col), folder)
 
 
 def op7_token_ids(spark, sf_dir) -> DataFrame:
