@@ -1,9 +1,11 @@
 """Chat formatting in budgeted windows.
 
 Prefix sums of the turns' tokens choose spans of whole turns: a window holds the system turn, as much history as
-fits HISTORY tokens, and new turns up to BUDGET tokens in all. The system turn and the history of a later window repeat
-what an earlier one has; repeated turns are masked, so that each assistant turn is a target once. A turn over the budget
-has a window of its own and is not cut. Conversations are read turn by turn in order; no conversation is held as a whole.
+fits HISTORY tokens, and new turns up to BUDGET tokens in all. A turn's tokens are those of what is written for it: template,
+role and escaped text. The system turn and the history of a later window repeat what an earlier one has; repeated turns are
+masked, so that each assistant turn is a target once. Only a turn that is over the budget by itself or with the system turn
+makes a window longer: it has one without history and is not cut. Conversations are read turn by turn in order; no
+conversation is held as a whole.
 
 Template: `<turn ROLE>`, newline, text, newline, `</turn>`, newline. In roles and texts a backslash goes before each
 backslash and each control string (before `>` in roles as well), which unescape() undoes.
@@ -26,9 +28,7 @@ from quadrille.llm.tokens import encoder, public_path
 VOCABULARY = "word_bpe_49k.json"
 BUDGET = 2048
 HISTORY = 512
-#: Tokens that the template adds to a turn, at most.
-OVERHEAD = 12
-WINDOW = "conv_id long, window long, text string, new_from int, n_turns int, mask array<struct<start:int,length:int>>"
+WINDOW = "conv_id long, window long, text string, new_from int, n_turns int, mask array<struct<start:bigint,length:bigint>>"
 _CONTROL = re.compile(r"\\|<turn |</turn>")
 _ROLE = re.compile(r"\\|<turn |</turn>|>")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -72,9 +72,8 @@ class Windows:
         self.budget, self.history = budget, history
         self.system, self.turns, self.new_at, self.sums, self.n = None, deque(), 0, deque([0]), 0
 
-    def add(self, role: str, text: str, tokens: int):
-        """Yields the window that this turn closes, if any. sums: prefix sums of tokens, one more than turns."""
-        cost = tokens + OVERHEAD
+    def add(self, role: str, text: str, cost: int):
+        """Yields the window that this turn closes, if any. cost: tokens of the formatted turn; sums: their prefix sums, one more than turns."""
         if self.n == 0 and role == "system":
             self.system = (role, text, cost)
         self.n += 1
@@ -130,11 +129,14 @@ def format_windows(turns: DataFrame, vocabulary: str | None = None, budget: int
     """conv_id, window, text, new_from (turns repeated at the front), n_turns, mask (spans in code points).
 
     Turns go by number, null first; equal numbers by role, then text. Null roles and texts are empty; rows without a
-    conversation form one of their own, null. Repeated rows are repeated turns. No rows in, none out.
+    conversation form one of their own, null. Repeated rows are repeated turns. No rows in, none out. Texts of any length are
+    kept whole. Other columns are not read, so their names do not matter. A conversation is one sequence: its turns
+    pass through one task in order, whatever their number, a window at a time. With tokenizers that merge across a turn's
+    end, a window may have fewer tokens than the sum of its turns.
     """
     vocabulary = vocabulary or public_path(VOCABULARY)
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("new_from", pa.int32()), ("n_turns", pa.int32()),
-                        ("mask", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))])
+                        ("mask", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
 
     def run(batches):
         enc, state, key, k, rows = encoder(vocabulary), None, None, 0, []
@@ -151,7 +153,7 @@ def format_windows(turns: DataFrame, vocabulary: str | None = None, budget: int
                     if state:
                         put(state.end())
                     state, key, k = Windows(budget, history), conv, 0
-                put(state.add(role, text, len(enc.encode(text)) // 4))
+                put(state.add(role, text, len(enc.encode(format_turn(role, text)[0])) // 4))
                 if len(rows) >= 256:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows.clear()
