@@ -5,10 +5,12 @@
    cap / weight).
 2. Whole copies. A source whose target is r times its size takes every document floor(r) times for certain.
 3. The rest of the target is drawn without replacement. Inclusion probabilities are min(1, c * w) for a document's
-   weight w, in 64ths, with c set so that the expected words are the rest. Documents are ranked by
-   odds(u) / odds(probability), u a fixed hash of the id (Pareto order sampling), and taken in this order until the rest
-   is filled. The draw is of fixed size in words: it stops before the document that would exceed the rest, and one
-   closing document, the one nearest to what is still missing, is added if that brings the source nearer.
+   weight w (equal where none is given), in 64ths, with c set so that the expected words are the rest. Documents are ranked
+   by odds(u) / odds(probability), u a fixed hash of the id (Pareto order sampling), and taken in this order until the rest
+   is filled. The draw is of fixed size in words: it stops before the document that would exceed the rest.
+4. What is then missing, under one document, is closed by documents not drawn: the largest that fits, again and again, at most
+   CLOSING of them, and at the end one more that exceeds the rest if that is nearer. Candidates are the first few by rank of
+   each size (of each sixteenth of an octave for large ones), so that they are bounded whatever the input.
 
 No source is ever sorted as a whole: ranks are counted in RANK_BINS bins, and only the bin in which a source's draw ends
 is put in order. The decisions are two thresholds for each source, so that documents are never shuffled for them.
@@ -19,18 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import SPACE_CLASS, WORD_CLASS, col, fresh, staged, table
+from quadrille.llm.common import WORD_CLASS, col, fresh, staged, table
 
 SOURCE_WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 RANK_BINS = 4096
 WEIGHT_PARTS = 64
+CLOSING = 64
+#: Sizes that are classes of their own among candidates for closing, classes an octave above, and candidates a class.
+EXACT_SIZES, PARTS_AN_OCTAVE, A_CLASS = 256, 16, 32
 
 
 def n_words(text: Column) -> Column:
     """Words in a text; null has none."""
-    trimmed = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, f"{SPACE_CLASS}+"))).cast("long")
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD_CLASS)).cast("long")
 
 
 def draw(key: Column) -> Column:
@@ -58,11 +62,6 @@ def source_targets(sizes: DataFrame, max_copies: int = MAX_COPIES, weights=SOURC
     return s.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def length_parts(size: Column, mean: Column) -> Column:
-    """Weight in 64ths: a document over 4 times the source's mean size is drawn with half the odds, over 16 times a quarter."""
-    return F.when(size <= 4 * mean, F.lit(WEIGHT_PARTS)).when(size <= 16 * mean, F.lit(WEIGHT_PARTS // 2)).otherwise(F.lit(WEIGHT_PARTS // 4))
-
-
 def scores(rows: DataFrame) -> DataFrame:
     """Adds u-based rank_ (Pareto order) and its bin_ to rows that carry key_, parts_, c_."""
     p = F.least(F.lit(1.0), F.col("c_") * F.col("parts_"))
@@ -72,21 +71,20 @@ def scores(rows: DataFrame) -> DataFrame:
 
 
 def _plan(narrow: DataFrame, max_copies: int, weights) -> DataFrame:
-    """narrow (key_, source, size, user's parts_ or null) -> a row a source with target, copies_ and thresholds."""
+    """narrow (key_, source, size, parts_) -> a row a source with target, copies_ and thresholds."""
     by_source = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     s = source_targets(by_source, max_copies, weights)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     s = s.withColumn("copies_", F.least(F.floor(ratio), F.lit(max_copies)).cast("long"))
     s = s.withColumn("rest_", F.col("target") - F.col("copies_") * F.col("source_size"))
-    s = staged(s.withColumn("mean_", F.col("source_size") / F.col("n_docs")), "mix-sources")
+    s = staged(s, "mix-sources")
 
     def tied(left: DataFrame, right: DataFrame) -> DataFrame:
         r = right.withColumnRenamed("source", "source_r")
         return left.join(r, F.col("source").eqNullSafe(F.col("source_r")), "left").drop("source_r")
 
-    docs = tied(narrow, s.select("source", "mean_")).withColumn("parts_", F.coalesce(F.col("parts_"), length_parts(F.col("size"), F.col("mean_"))))
     # c: the most heavily weighted classes have probability 1; the others share what is left in proportion to weight.
-    classes = tied(docs.groupBy("source", "parts_").agg(F.sum("size").alias("words_")), s.select("source", "rest_"))
+    classes = tied(narrow.groupBy("source", "parts_").agg(F.sum("size").alias("words_")), s.select("source", "rest_"))
     falling = Window.partitionBy("source").orderBy(F.col("parts_").desc())
     certain = F.coalesce(F.sum("words_").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     weighted = F.sum(F.col("words_") * F.col("parts_")).over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
@@ -95,30 +93,43 @@ def _plan(narrow: DataFrame, max_copies: int, weights) -> DataFrame:
     chosen = classes.groupBy("source").agg(F.max_by("c_", "parts_").alias("c_"))
     s = staged(tied(s, chosen).withColumn("c_", F.greatest(F.coalesce(F.col("c_"), F.lit(1.0)), F.lit(0.0))), "mix-odds")
 
-    ranked = scores(tied(docs.drop("mean_"), s.select("source", "rest_", "c_")))
+    ranked = scores(tied(narrow, s.select("source", "rest_", "c_")))
     bins = ranked.groupBy("source", "bin_").agg(F.sum("size").alias("words_"), F.first("rest_").alias("rest_"))
     upward = Window.partitionBy("source").orderBy("bin_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = bins.withColumn("upto_", F.sum("words_").over(upward)).where(F.col("upto_") > F.col("rest_"))
     last = staged(bins.groupBy("source").agg(F.min(F.struct("bin_", (F.col("upto_") - F.col("words_")).alias("before_"))).alias("m")).select("source", F.col("m.bin_").alias("end_bin_"), F.col("m.before_").alias("before_")), "mix-bins")
     # In the bin where the draw ends, documents are put in order; the draw ends before the first that does not fit.
     edge = tied(ranked, last).where(F.col("bin_") == F.col("end_bin_"))
-    inside = Window.partitionBy("source").orderBy("rank_", "order_", F.col("key_").asc_nulls_last())
+    inside = Window.partitionBy("source").orderBy("rank_", "order_", _text(F.col("key_")))
     upto = F.col("before_") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = edge.withColumn("order_", draw(F.col("key_"))).withColumn("upto_", upto).where(F.col("upto_") > F.col("rest_"))
-    cut = edge.groupBy("source").agg(F.min(F.struct("rank_", "order_", F.coalesce(F.col("key_").cast("string"), F.lit("")).alias("tie_"), (F.col("upto_") - F.col("size")).alias("filled_"))).alias("cut_"))
+    cut = edge.groupBy("source").agg(F.min(F.struct("rank_", "order_", _text(F.col("key_")).alias("tie_"), (F.col("upto_") - F.col("size")).alias("filled_"))).alias("cut_"))
     s = staged(tied(s, cut), "mix-cuts")
-    # The closing document: of those not drawn, the one whose size is nearest to the words still missing.
-    out = tied(docs.drop("mean_"), s).where(F.col("cut_").isNotNull())
-    out = scores(out).where(~_drawn() & (F.col("size") > 0))
+    # Candidates for closing: not drawn, and under twice what is missing, so that one may also exceed it and be nearer.
     missing = F.col("rest_") - F.col("cut_.filled_")
-    out = out.withColumn("off_", F.abs(F.col("size") - missing)).where(F.col("off_") < missing)
-    close = out.groupBy("source").agg(F.min(F.struct("off_", draw(F.col("key_")).alias("u_"), F.coalesce(F.col("key_").cast("string"), F.lit("")).alias("id_"))).alias("close_"))
+    open_ = scores(tied(narrow, s).where(F.col("cut_").isNotNull())).where(~_drawn() & (F.col("size") > 0) & (F.col("size") < 2 * missing))
+    klass = F.when(F.col("size") <= EXACT_SIZES, F.col("size")).otherwise(F.floor(F.log2("size") * PARTS_AN_OCTAVE) + EXACT_SIZES)
+    first = Window.partitionBy("source", "class_").orderBy(F.col("size").desc(), "rank_", "order_", "tie_")
+    open_ = open_.withColumns({"class_": klass, "order_": draw(F.col("key_")), "tie_": _text(F.col("key_")), "missing_": missing})
+    few = open_.withColumn("nth_", F.row_number().over(first)).where(F.col("nth_") <= A_CLASS)
+    one = F.struct(F.col("size"), F.col("order_"), F.col("tie_"))
+    lists = few.groupBy("source").agg(F.sort_array(F.collect_set(one), asc=False).alias("all_"), F.min("missing_").alias("missing_"))
+    start = F.struct(F.col("missing_").alias("left"), F.slice("all_", 1, 0).alias("took"))
+    fits = lambda st, x: (x["size"] <= st["left"]) & (F.size(st["took"]) < CLOSING)
+    filled = lists.select("source", "all_", F.aggregate("all_", start, lambda st, x: F.when(fits(st, x), F.struct((st["left"] - x["size"]).alias("left"), F.concat(st["took"], F.array(x)).alias("took"))).otherwise(st)).alias("end_"))
+    # The smallest that is left exceeds the rest; it comes in where that is nearer.
+    filled = filled.withColumn("over_", F.try_element_at(F.sort_array(F.filter(F.array_except("all_", F.col("end_.took")), lambda x: (x["size"] > F.col("end_.left")) & (x["size"] - F.col("end_.left") < F.col("end_.left")))), F.lit(1)))
+    close = filled.select("source", F.when(F.col("over_").isNull(), F.col("end_.took")).otherwise(F.concat(F.col("end_.took"), F.array("over_"))).alias("close_"))
     return staged(tied(s, close), "mix-plan")
 
 
+def _text(key: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.lit(""))
+
+
 def _drawn() -> Column:
     """Whether a scored row with its source's cut_ is in the draw."""
-    at = F.struct(F.col("rank_"), draw(F.col("key_")).alias("order_"), F.coalesce(F.col("key_").cast("string"), F.lit("")).alias("tie_"))
+    at = F.struct(F.col("rank_"), draw(F.col("key_")).alias("order_"), _text(F.col("key_")).alias("tie_"))
     cut = F.struct(F.col("cut_.rank_"), F.col("cut_.order_"), F.col("cut_.tie_"))
     return F.coalesce(at < cut, F.col("rest_") > 0)
 
@@ -128,24 +139,27 @@ def pareto_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     """Adds size, source_size, target, taken and copies to each row; rows not drawn have taken and copies 0.
 
     size_col: a column with the words of a row, else they are counted in text_col. weight_col: a weight in (0, 1], used in
-    64ths; without it long documents are drawn with lower odds. Null sources are a source of their own, the last; null
-    texts have no words; rows without words are never drawn by the closing step. Rows that repeat an id share one draw.
-    As copies are whole, a source's words come within about half its largest document of the target, mostly much nearer.
-    An empty table gives an empty result. Columns of df named like the added ones are replaced.
+    64ths; without it all documents of a source are drawn alike. Null sources are a source of their own, the last; null
+    texts have no words; rows without words are never drawn by the closing step. Texts of any length are one document. Equal
+    draws are put in order by id; rows that repeat an id share one draw, so that they are taken together, and those that repeat
+    id and size close together. As copies are whole, a source's words miss the target by less than its smallest document that
+    is not drawn (where no id is repeated, and CLOSING documents suffice). An empty table gives an empty result. Columns of df named like the added ones are
+    replaced, other names never clash.
     """
     made = ["size", "source_size", "target", "taken", "copies"]
     base = df.drop(*[c for c in made if c not in (size_col, weight_col, source_col, id_col, text_col)])
     sz, = fresh(base, "sz_")
     size = col(size_col).cast("long") if size_col else n_words(col(text_col))
-    parts = F.greatest(F.lit(1), F.least(F.lit(WEIGHT_PARTS), F.ceil(col(weight_col) * WEIGHT_PARTS))).cast("int") if weight_col else F.lit(None).cast("int")
+    parts = F.coalesce(F.greatest(F.lit(1), F.least(F.lit(WEIGHT_PARTS), F.ceil(col(weight_col) * WEIGHT_PARTS))).cast("int"), F.lit(WEIGHT_PARTS)) if weight_col else F.lit(WEIGHT_PARTS)
     narrow = staged(base.select(col(id_col).alias("key_"), col(source_col).alias("source"), F.coalesce(size, F.lit(0)).alias("size"), parts.alias("parts_")), "mix-sizes")
     plan = _plan(narrow, max_copies, weights).withColumnRenamed("source", "source_r").withColumnRenamed("source_size", "total_")
     names = fresh(base, *[f"m{i}_" for i in range(len(base.columns))])
     rows = base.select(*[col(c).alias(n) for c, n in zip(base.columns, names)], size.alias("size"), col(id_col).alias("key_"), col(source_col).alias("source_l"), parts.alias("parts_"))
     rows = rows.withColumn("size", F.coalesce("size", F.lit(0)))
     rows = rows.join(plan, F.col("source_l").eqNullSafe(F.col("source_r")), "left")
-    rows = scores(rows.withColumn("parts_", F.coalesce(F.col("parts_"), length_parts(F.col("size"), F.col("mean_")))))
-    closing = F.coalesce((draw(F.col("key_")) == F.col("close_.u_")) & (F.coalesce(F.col("key_").cast("string"), F.lit("")) == F.col("close_.id_")), F.lit(False))
+    rows = scores(rows)
+    same = lambda x: (x["size"] == F.col("size")) & (x["order_"] == draw(F.col("key_"))) & (x["tie_"] == _text(F.col("key_")))
+    closing = F.coalesce(~_drawn() & F.exists("close_", same), F.lit(False))
     copies = (F.col("copies_") + F.when(_drawn() | closing, 1).otherwise(0)).cast("long")
     copies = F.least(copies, F.lit(max_copies))
     plain = [c for c in base.columns if c not in made]
