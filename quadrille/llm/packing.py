@@ -1,15 +1,16 @@
 """Packing of token sequences: patterns of few documents fitted by non-negative least squares, the rest by best fit.
 
-Only the histogram of piece lengths, at most `capacity` numbers, reaches the driver. Patterns of one to four lengths that
-fill a sequence (nearly) are enumerated; their repeat counts are fitted to the histogram by non-negative least
-squares, rounded, and scaled back where they ask for more pieces than there are. What is left is packed by best fit
-decreasing over the histogram, many sequences at a step. The plan is a list of slot ranges for each length, bounded by
+Only the histogram of piece lengths, at most `capacity` numbers, reaches the driver. Patterns of one to eight lengths that
+fill a sequence are enumerated; their repeat counts are fitted to the histogram by non-negative least squares and rounded
+within the pieces that there are. What is left is packed by best fit decreasing over the histogram, many sequences at a
+step. Of the fitted counts, the largest of a few shares is taken that costs no sequence more than best fit alone. The plan is a list of slot ranges for each length, bounded by
 the capacity and not by the documents; each piece finds its slot from its number among the pieces of its length.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from quadrille.llm.tokens import END_ID, encoder, public_path
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
-ROUNDS = 150
+ROUNDS = 300
+#: Pieces a pattern has at most, draws of patterns for each number of pieces, shares of the fitted counts that are tried in turn.
+MOST_PIECES, DRAWS, SHARES = 8, 4096, (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.3)
 #: Counts by task and length are broadcast up to so many rows (about 12 MB); beyond it, pieces meet them by a sorted shuffle.
 MOST_BROADCAST_COUNTS = 100_000
 
@@ -58,50 +61,87 @@ def pieces_of(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capa
 # ---------------------------------------------------------------- the plan
 
 
-def patterns(present: np.ndarray, capacity: int, slack: int) -> np.ndarray:
-    """Rows of up to four lengths (0: none), in falling order, of sum capacity - slack to capacity, all of them present."""
-    have = np.zeros(capacity + 1, bool)
-    have[present] = True
-    below = np.maximum.accumulate(np.where(have, np.arange(capacity + 1), 0))  # the largest present length up to x
-    a = present.astype(np.int64)
-    found = [np.stack([a, a * 0, a * 0, a * 0], 1)]
-    b = below[capacity - a]
-    found.append(np.stack([a, b, a * 0, a * 0], 1))
-    for f in range(1, 16):
-        b = below[(capacity - a) * f // 16]
-        c = below[capacity - a - b]
-        found.append(np.stack([a, b, c, a * 0], 1))
-        for g in range(2, 15, 4):
-            c = below[(capacity - a - b) * g // 16]
-            found.append(np.stack([a, b, c, below[capacity - a - b - c]], 1))
-    rows = -np.sort(-np.concatenate(found), axis=1)
-    total = rows.sum(1)
-    rows = rows[(total <= capacity) & (total >= capacity - slack)]
-    return np.unique(rows, axis=0)
-
-
-def fit_counts(hist: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Whole repeat counts x >= 0 of the patterns: least squares of (lengths used - hist), then within hist."""
-    if not len(rows):
-        return np.zeros(0, np.int64)
+def patterns(hist: np.ndarray, capacity: int, most: int = MOST_PIECES, draws: int = DRAWS) -> np.ndarray:
+    """Rows of up to `most` lengths (0: none), in falling order, of sum `capacity`, all of them present in hist.
+
+    Of one and two lengths, all; of more, as many draws for each number of pieces: all lengths but two follow the histogram,
+    the first going through the lengths in turn, and a pair that is present fills what is left. The draws are the same each time.
+    """
+    have = hist > 0
+    have[0] = False
+    present = np.flatnonzero(have)
+    if not len(present):
+        return np.zeros((0, most), np.int64)
+    rng, found = np.random.default_rng(7), []
+    pad = lambda rows: np.pad(rows, ((0, 0), (0, most - rows.shape[1])))
+    if have[capacity]:
+        found.append(pad(np.array([[capacity]])))
+    pairs: dict[int, np.ndarray] = {}
+
+    def larger(rest: int) -> np.ndarray:
+        """Lengths that fill `rest` together with another that is not longer."""
+        if rest not in pairs:
+            c = np.arange(-(-rest // 2), rest)
+            pairs[rest] = c[have[c] & have[rest - c]]
+        return pairs[rest]
+
+    two = larger(capacity)
+    found.append(pad(np.stack([two, capacity - two], 1)))
+    weight = hist[present] / hist[present].sum()
+    for k in range(3, most + 1):
+        picked = rng.choice(present, (draws, k - 2), p=weight)
+        picked[:, 0] = present[np.arange(draws) % len(present)]
+        rest, turn = capacity - picked.sum(1), rng.random(draws)
+        rows = []
+        for i in np.flatnonzero(rest > 1).tolist():
+            if len(c := larger(int(rest[i]))):
+                last = int(c[int(turn[i] * len(c))])
+                rows.append([*picked[i].tolist(), last, int(rest[i]) - last])
+        if rows:
+            found.append(pad(np.array(rows)))
+    return np.unique(-np.sort(-np.concatenate(found), axis=1), axis=0)
+
+
+def fit_counts(hist: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS, stop: float = 1e-4) -> np.ndarray:
+    """Repeat counts x >= 0 of the patterns by least squares of (lengths used - hist), until the error falls by under `stop` in ten rounds."""
     live, size = rows > 0, len(hist)
     uses = lambda x: np.bincount(rows.ravel(), np.repeat(x, rows.shape[1]) * live.ravel(), size)
     back = lambda v: (v[rows] * live).sum(1)
     goal = hist.astype(float)
     goal[0] = 0
     x = np.full(len(rows), goal.sum() / max(1, live.sum()))
-    wanted = back(goal)
-    for _ in range(rounds):  # multiplicative steps keep x non-negative and never raise the squared error
-        x *= wanted / np.maximum(back(uses(x)), 1e-12)
-    x = np.rint(x)
-    used = uses(x)
-    keep = np.where(used > goal, goal / np.maximum(used, 1), 1.0)
-    x = np.floor(x * np.where(live, keep[rows], 1.0).min(1) + 1e-9).astype(np.int64)
-    over = uses(x) > goal + 1e-6
-    x[(over[rows] & live).any(1)] = 0
+    wanted, before = back(goal), np.inf
+    for k in range(rounds):  # multiplicative steps keep x non-negative and never raise the squared error
+        used = uses(x)
+        if k % 10 == 0:
+            error = float(((used - goal) ** 2).sum())
+            if before - error < stop * max(before, 1e-12) and np.isfinite(before):
+                break
+            before = error
+        x *= wanted / np.maximum(back(used), 1e-12)
     return x
 
 
+def rounded(hist: np.ndarray, rows: np.ndarray, x: np.ndarray, share: float) -> np.ndarray:
+    """Whole counts near share * x that ask for no more pieces than there are: whole parts first, then one more each, largest fraction first."""
+    left, out = hist.tolist(), np.zeros(len(rows), np.int64)
+    wanted = share * x
+    base, room = np.floor(wanted), share * float((x[:, None] * rows).sum()) / max(1, int(rows[0].sum()))
+    for whole in (True, False):
+        size = base if whole else wanted - base
+        for i in np.argsort(-size, kind="stable").tolist():
+            if size[i] <= 0 or room < 1:
+                break
+            need = Counter(v for v in rows[i].tolist() if v)
+            n = min([int(size[i]) if whole else 1, int(room), *(left[v] // m for v, m in need.items())])
+            if n > 0:
+                out[i] += n
+                room -= n
+                for v, m in need.items():
+                    left[v] -= m * n
+    return out
+
+
 def best_fit(hist: np.ndarray, capacity: int):
     """Best fit decreasing over a histogram: (groups, slots).
 
@@ -149,8 +189,15 @@ def best_fit(hist: np.ndarray, capacity: int):
 def make_plan(hist: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     """Slot ranges sorted by (length, number of their first piece among those of the length)."""
     hist = np.asarray(hist, np.int64).copy()
-    rows = patterns(np.flatnonzero(hist), capacity, slack=0) if hist.any() else np.zeros((0, 4), np.int64)
-    counts = fit_counts(hist, rows)
+    rows = patterns(hist, capacity)
+    x = fit_counts(hist, rows)
+    plain, counts = sum(best_fit(hist, capacity)[0]), np.zeros(len(rows), np.int64)
+    for share in SHARES if len(rows) else ():  # as much by patterns as costs no sequence more than best fit alone
+        tried = rounded(hist, rows, x, share)
+        left = hist - np.bincount(rows.ravel(), np.repeat(tried, rows.shape[1]) * (rows > 0).ravel(), len(hist)).astype(np.int64)
+        if tried.sum() + sum(best_fit(left, capacity)[0]) <= plain:
+            counts = tried
+            break
     slots: list[tuple] = []  # length, first sequence, sequences, offset, pieces a sequence
     n_sequences = 0
     for pattern, x in zip(rows[counts > 0].tolist(), counts[counts > 0].tolist()):
