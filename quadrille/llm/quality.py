@@ -1,11 +1,17 @@
 """Quality rules: base statistics of a text, then robust multivariate outliers.
 
-For each language and source, a minimum-covariance-determinant estimate of location and scatter is made of transformed
-statistics: it is that of the half of the rows with the smallest determinant, approached by concentration steps (the
-half nearest to the present estimate makes the next one). A row whose squared Mahalanobis distance from its group's
-estimate exceeds CUTOFF in the direction of junk is rejected. Every step is a pre-aggregated groupBy on language and
-source: no group meets in one task. Groups under MIN_GROUP rows are estimated with the other small groups of their
-language, then with all small ones; where even that is under MIN_GROUP, nothing is rejected.
+For each language and source, a regularised minimum-covariance-determinant estimate of location and scatter is made of
+six transformed statistics: it is that of the half of the rows whose scatter has the smallest determinant. From each of
+STARTS starts (middle and quartiles of each statistic; two small samples drawn by hash) concentration steps lead to a
+candidate: the half nearest to the present estimate makes the next one. Of the candidates the one of smallest determinant is
+taken. A row whose squared Mahalanobis distance from its group's estimate exceeds CUTOFF is rejected, on whichever side it
+lies. "Half" is taken in bins of distance: it holds half of the rows and besides only those that are at most 1.1 % farther
+than the median distance (2 ** (1 / BIN_PARTS), on one plus the distance).
+
+Every step is a pre-aggregated groupBy on language and source: no group meets in one task. Groups under MIN_GROUP rows
+are estimated with the other small groups of their language, then with all small ones; where even that is under MIN_GROUP,
+nothing is rejected. `estimate` tells which it was. A text's length takes no part: long texts are no outliers, and the base
+rules take the short ones.
 """
 
 from __future__ import annotations
@@ -13,25 +19,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import SPACE_CLASS, col, fresh, staged, table
+from quadrille.llm.common import SPACE_CLASS, col, staged, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 200
 STEPS = 4
-#: 99.99 % point of chi-square with 3 degrees of freedom.
-CUTOFF = 21.108
-#: Standard deviations whose squares are added to the scatter. The nearer half of clean rows has no symbols and no repetition, so that
-#: these floors decide there: over 0.1 symbols a word (second) or 0.3 of the words repeated (third). The estimate of mean word lengths is
-#: 0.023 to 0.029 at sf0.1; the first floor stands above it because 0.025 rejects 4 of 3243 labelled clean texts there, 0.05 none.
-FLOORS = (0.05, 0.02, 0.12)
-#: Variance of the nearer half of a normal sample in 3 dimensions, against the whole's.
-HALF_FACTOR = 0.40
+STARTS = 3
+#: Rows of a starting sample, about.
+START_ROWS = 64
+#: 99.99 % point of chi-square with 6 degrees of freedom.
+CUTOFF = 27.856
+#: Standard deviations that regularise: the diagonal of their squares is added to the scatter, as texts that are all alike in a statistic
+#: (no symbols, no repetition, in the nearer half) would make it singular. In the order of STATISTICS.
+FLOORS = (0.05, 0.02, 0.2, 0.2, 0.02, 0.02)
+#: Variance of the nearer half of a normal sample in 6 dimensions, against the whole's.
+HALF_FACTOR = 0.5604
 #: A distance's bin is floor(BIN_PARTS * log2(1 + distance)).
 BIN_PARTS = 64
 DIMS = len(FLOORS)
-#: A table of one small row a group is broadcast up to so many groups (about 20 MB); beyond it, rows meet their group by shuffle.
-MOST_BROADCAST_GROUPS = 100_000
+#: A table of one small row a group and start is broadcast up to so many groups (about 60 MB); beyond it, rows meet their group by shuffle.
+MOST_BROADCAST_GROUPS = 50_000
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_marks", "n_upper")
+XS = [f"x{i}" for i in range(DIMS)]
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 
 def text_stats(text: Column) -> list[tuple[str, Column]]:
@@ -39,13 +50,25 @@ def text_stats(text: Column) -> list[tuple[str, Column]]:
     t = F.coalesce(text.cast("string"), F.lit(""))
     words = F.filter(F.split(t, f"{SPACE_CLASS}+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    return [("words_", words), ("lines_", lines), ("n_symbols", F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"))]
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
+    return [("words_", words), ("lines_", lines), ("n_symbols", count("[#*$%&|<>]")), ("n_marks", count("[.,;:!?]")), ("n_upper", count(r"\p{Lu}"))]
 
 
 def with_stats(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    """keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; everything within a row, nothing exploded."""
-    t = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    first = df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in text_stats(col(text_col))]))))
+    """keep and STATISTICS; everything within a row, nothing exploded, texts of any length whole.
+
+    Null and empty texts have no words and no lines. Columns of keep that are named like a statistic are replaced, other names
+    never clash. Repeated rows are repeated; no rows in, none out.
+    """
+    names = df.select(*keep).columns
+    mine = {n: f"keep{i}_" for i, n in enumerate(names) if n not in STATISTICS}
+    first = df.select(*[c.alias(mine[n]) for n, c in zip(names, keep) if n in mine], F.inline(F.array(F.struct(*[c.alias(n) for n, c in text_stats(col(text_col))]))))
+    out = _counted(first)
+    return out.select(*[F.col(m).alias(n) for n, m in mine.items()], *STATISTICS)
+
+
+def _counted(first: DataFrame) -> DataFrame:
+    """words_ and lines_ to counts."""
     # inline() of one struct keeps the arrays materialised: each is computed once.
     n = F.size("words_")
     windows = F.zip_with(F.zip_with(F.slice("words_", 1, F.greatest(n - 2, F.lit(0))), F.slice("words_", 2, F.greatest(n - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b)),
@@ -53,7 +76,7 @@ def with_stats(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     windows = F.when(n >= 3, windows).otherwise(F.array().cast("array<long>"))
     kept = [F.col(c) for c in first.columns if c not in ("words_", "lines_")]
     second = first.select(*kept, n.cast("long").alias("n_words"), F.length(F.array_join("words_", "")).cast("long").alias("word_chars"),
-                          (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long").alias("n_dup_lines"),
+                          F.size("lines_").cast("long").alias("n_lines"), (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long").alias("n_dup_lines"),
                           F.inline(F.array(F.struct(windows.alias("windows_")))))
     # Positions of windows that occur again: sorted (hash, place) pairs whose neighbour has the same hash.
     has = F.size(F.array_distinct("windows_")) < F.size("windows_")
@@ -77,110 +100,119 @@ def with_stats(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
 
 
 def transformed() -> list[Column]:
-    """Log of the mean word length; log of symbols a word; square root of the share of words in repeated windows."""
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), F.log1p(F.col("n_symbols") / n), F.sqrt(F.col("n_repeat_words") / n)]
+    """Log of the mean word length; log of symbols a word; square roots of the shares of words in repeated windows, of repeated
+    lines, of marks and of capitals (of the letters in words)."""
+    n, letters = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars"))
+    return [F.log(letters / n), F.log1p(F.col("n_symbols") / n), F.sqrt(F.col("n_repeat_words") / n), F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
+            F.sqrt(F.col("n_marks") / letters), F.sqrt(F.col("n_upper") / letters)]
 
 
-def distance(x: list[Column], mean: list[Column], cov: dict[tuple[int, int], Column]) -> Column:
-    """Squared Mahalanobis distance in three dimensions, by the adjugate of the scatter matrix."""
-    d = [a - b for a, b in zip(x, mean)]
-    c = lambda i, j: cov[min(i, j), max(i, j)]
-    adj = {(0, 0): c(1, 1) * c(2, 2) - c(1, 2) * c(1, 2), (1, 1): c(0, 0) * c(2, 2) - c(0, 2) * c(0, 2), (2, 2): c(0, 0) * c(1, 1) - c(0, 1) * c(0, 1),
-           (0, 1): c(0, 2) * c(1, 2) - c(0, 1) * c(2, 2), (0, 2): c(0, 1) * c(1, 2) - c(0, 2) * c(1, 1), (1, 2): c(0, 1) * c(0, 2) - c(0, 0) * c(1, 2)}
-    det = c(0, 0) * adj[0, 0] + c(0, 1) * adj[0, 1] + c(0, 2) * adj[0, 2]
-    form = sum((adj[i, i] * d[i] * d[i] for i in range(DIMS)), F.lit(0.0))
-    for i, j in ((0, 1), (0, 2), (1, 2)):
-        form = form + 2 * adj[i, j] * d[i] * d[j]
-    return form / det
-
-
-def _few(groups: DataFrame, n: int) -> DataFrame:
-    """A table of n or fewer rows, to be joined with: broadcast where n is small, so that a large group is not sent to one task."""
-    return F.broadcast(groups) if n <= MOST_BROADCAST_GROUPS else groups
+def _level(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once, so that those built on them do not repeat their work."""
+    return df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
 
 
-def _scatter(model: DataFrame) -> DataFrame:
-    """Adds the floors to a group's raw scatter, widened to that of the whole."""
+def whitened(model: DataFrame, *keys: str) -> DataFrame:
+    """keys, m0.., w00.. and logdet of scatters c00..: w is the inverse of the lower Cholesky factor of c."""
+    c = lambda n, i, j: F.col(f"{n}{i}{j}")
+    total = lambda terms: sum(terms, F.lit(0.0))
     out = model
+    for j in range(DIMS):
+        out = _level(out, {f"l{j}{j}": F.sqrt(F.greatest(c("c", j, j) - total(c("l", j, k) * c("l", j, k) for k in range(j)), F.lit(1e-12)))})
+        if j + 1 < DIMS:
+            out = _level(out, {f"l{i}{j}": (c("c", i, j) - total(c("l", i, k) * c("l", j, k) for k in range(j))) / c("l", j, j) for i in range(j + 1, DIMS)})
     for i in range(DIMS):
-        for j in range(i, DIMS):
-            out = out.withColumn(f"c{i}{j}", F.col(f"s{i}{j}") / HALF_FACTOR + (FLOORS[i] ** 2 if i == j else 0.0))
-    return out.select("g_", *[f"m{i}" for i in range(DIMS)], *[f"c{i}{j}" for i in range(DIMS) for j in range(i, DIMS)])
+        row = {f"w{i}{j}": -total(c("l", i, k) * c("w", k, j) for k in range(j, i)) / c("l", i, i) for j in range(i)}
+        out = _level(out, row | {f"w{i}{i}": 1 / c("l", i, i)})
+    return out.select(*keys, *[f"m{i}" for i in range(DIMS)], *[f"w{i}{j}" for i, j in PAIRS], (2 * total(F.log(c("l", i, i)) for i in range(DIMS))).alias("logdet"))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    m = [F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)]
-    s = [(F.avg(F.col(f"x{i}") * F.col(f"x{j}")) - F.avg(f"x{i}") * F.avg(f"x{j}")).alias(f"s{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]
-    out = rows.groupBy("g_").agg(*m, *s)
-    for i in range(DIMS):
-        out = out.withColumn(f"s{i}{i}", F.greatest(F.col(f"s{i}{i}"), F.lit(0.0)))
-    return _scatter(out)
+def distance() -> Column:
+    """Squared Mahalanobis distance of a row that carries x0.., m0.. and w00...."""
+    d = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIMS)]
+    parts = [sum((F.col(f"w{i}{j}") * d[j] for j in range(i + 1)), F.lit(0.0)) for i in range(DIMS)]
+    return sum((y * y for y in parts), F.lit(0.0))
+
+
+def _few(groups: DataFrame, n: int) -> DataFrame:
+    """A table of n groups or fewer, to be joined with: broadcast where n is small, so that a large group is not sent to one task."""
+    return F.broadcast(groups) if n <= MOST_BROADCAST_GROUPS else groups
+
+
+def _regular(model: DataFrame, *keys: str) -> DataFrame:
+    """Scatter of the whole from that of the half s00.., regularised, in the form that distance() takes."""
+    c = [(F.col(f"s{i}{j}") / HALF_FACTOR + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    return whitened(model.select(*keys, *[f"m{i}" for i in range(DIMS)], *c), *keys)
 
 
-def _distances(rows: DataFrame, model: DataFrame, n: int) -> DataFrame:
-    x = [F.col(f"x{i}") for i in range(DIMS)]
-    cov = {(i, j): F.col(f"c{i}{j}") for i in range(DIMS) for j in range(i, DIMS)}
-    d2 = F.greatest(distance(x, [F.col(f"m{i}") for i in range(DIMS)], cov), F.lit(0.0))
-    return rows.join(_few(model, n), "g_").withColumn("d2_", d2)
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, means m0.. and scatter s00.. of the rows of each group."""
+    m = [F.avg(x).alias(f"m{i}") for i, x in enumerate(XS)]
+    s = [F.avg(F.col(XS[i]) * F.col(XS[j])).alias(f"s{i}{j}") for i, j in PAIRS]
+    out = rows.groupBy(*keys).agg(*m, *s)
+    s = {(i, j): F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in PAIRS}
+    return out.select(*keys, *[f"m{i}" for i in range(DIMS)], *[(F.greatest(v, F.lit(0.0)) if i == j else v).alias(f"s{i}{j}") for (i, j), v in s.items()])
 
 
 def mcd_models(rows: DataFrame, n: int, steps: int = STEPS) -> DataFrame:
-    """A row a group g_: location m0.. and scatter c00.. of its nearest half, after concentration steps.
+    """A row a group g_: location m0.., w00.. of the scatter and its logdet, of the best half.
 
-    rows: g_, x0, x1, x2, all non-null, of n groups at most. The start has location and spread of the middle of each statistic.
+    rows: g_, u_ (uniform in [0, 1)), gn_ (rows of the group), x0.., all non-null, of n groups at most.
     """
-    mids = [F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(DIMS)]
-    start = rows.groupBy("g_").agg(*mids)
-    start = start.select("g_", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)],
-                         *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) * HALF_FACTOR if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in range(DIMS) for j in range(i, DIMS)])
-    model = staged(_scatter(start), "mcd-start")
+    mids = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, x in enumerate(XS)]
+    middle = rows.groupBy("g_").agg(*mids)
+    spread = lambda i: F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) * HALF_FACTOR
+    middle = middle.select("g_", F.lit(0).alias("start_"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS])
+    # Samples: each takes another stretch of u_, about START_ROWS rows of a group; a group that gives it no row does without.
+    place = F.floor(F.col("u_") * F.greatest(F.col("gn_") / F.lit(float(START_ROWS)), F.lit(float(STARTS - 1)))).cast("int")
+    samples = _moments(rows.withColumn("start_", place + 1).where(F.col("start_") < STARTS), "g_", "start_")
+    model = staged(_regular(middle.unionByName(samples), "g_", "start_"), "mcd-start")
     for k in range(steps):
-        near = _distances(rows, model, n).withColumn("bin_", F.floor(F.log2(1 + F.col("d2_")) * BIN_PARTS).cast("int"))
-        bins = near.groupBy("g_", "bin_").agg(F.count(F.lit(1)).alias("n_"))
-        upward = Window.partitionBy("g_").orderBy("bin_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        bins = bins.withColumn("upto_", F.sum("n_").over(upward)).withColumn("all_", F.sum("n_").over(Window.partitionBy("g_")))
-        half = bins.where(2 * F.col("upto_") >= F.col("all_")).groupBy("g_").agg(F.min("bin_").alias("half_"))
-        model = staged(_moments(near.join(_few(half, n), "g_").where(F.col("bin_") <= F.col("half_")).select("g_", *[f"x{i}" for i in range(DIMS)])), f"mcd-{k}")
-    return model
+        near = rows.join(_few(model, n), "g_").withColumn("bin_", F.floor(F.log2(1 + distance()) * BIN_PARTS).cast("int")).select("g_", "start_", "bin_", *XS)
+        bins = near.groupBy("g_", "start_", "bin_").agg(F.count(F.lit(1)).alias("n_"))
+        group = Window.partitionBy("g_", "start_")
+        bins = bins.withColumn("upto_", F.sum("n_").over(group.orderBy("bin_").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all_", F.sum("n_").over(group))
+        half = bins.where(2 * F.col("upto_") >= F.col("all_")).groupBy("g_", "start_").agg(F.min("bin_").alias("half_"))
+        model = staged(_regular(_moments(near.join(_few(half, n), ["g_", "start_"]).where(F.col("bin_") <= F.col("half_")), "g_", "start_"), "g_", "start_"), f"mcd-{k}")
+    best = Window.partitionBy("g_").orderBy("logdet", "start_")
+    return staged(model.withColumn("nth_", F.row_number().over(best)).where("nth_ = 1").drop("nth_", "start_"), "mcd")
 
 
 def quality_rules(stats: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source",
                   min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
-    """Adds base_failed, distance and kept to rows that carry the five statistics.
+    """Adds base_failed, distance, estimate and kept to rows that carry STATISTICS (with_stats); other columns pass through.
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows; such rows are not kept and take no
-    part in estimates. Null languages and sources are groups of their own. distance is null where no estimate was made.
-    Only deviations towards junk count: a text is rejected if it is beyond the cutoff and has more symbols, more
-    repetition or another word length than its group's estimate. Repeated rows count each. No rows in, none out.
+    part in estimates. Null languages and sources are groups of their own. estimate: source, language or all, for the rows that
+    share the row's estimate; null, as distance is, where none was made (too few rows, or base_failed), and then the row is kept
+    if the base rules are met. A row is rejected if it is beyond the cutoff on any side. Repeated rows count each.
+    No rows in, none out. Columns named like the added ones are replaced; other names never clash.
     """
+    made = ("base_failed", "distance", "estimate", "kept")
+    names = [c for c in stats.columns if c not in made or c in (lang_col, source_col)]
+    mine = [f"c{i}_" for i in range(len(names))]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    names = stats.columns
-    rows = stats.withColumn("base_failed", failed)
-    good = rows.where(~F.col("base_failed"))
     key = lambda *parts: F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts])
-    lang, source = col(lang_col), col(source_col)
-    rows = rows.withColumn("k2_", key(lang, source)).withColumn("k1_", key(lang))
-    n2 = good.groupBy(key(lang, source).alias("k2_"), key(lang).alias("k1_")).agg(F.count(F.lit(1)).alias("n2_"))
+    lang, source, x = col(lang_col), col(source_col), transformed()
+    rows = stats.select(*[col(c).alias(m) for c, m in zip(names, mine)], key(lang, source).alias("k2_"), key(lang).alias("k1_"), failed.alias("failed_"),
+                        (F.pmod(F.xxhash64(col(id_col), *STATISTICS, F.lit("start")), F.lit(1 << 30)) / float(1 << 30)).alias("u_"), *[c.alias(n) for n, c in zip(XS, x)])
+    n2 = rows.where(~F.col("failed_")).groupBy("k2_", "k1_").agg(F.count(F.lit(1)).alias("n2_"))
     small = n2.where(F.col("n2_") < min_group)
     n1 = small.groupBy("k1_").agg(F.sum("n2_").alias("n1_"))
     rest = n1.where(F.col("n1_") < min_group).agg(F.coalesce(F.sum("n1_"), F.lit(0)).alias("n0_"))
-    groups = n2.join(n1, "k1_", "left").crossJoin(rest)  # rest is one row: a constant for the whole table
-    g = F.when(F.col("n2_") >= min_group, F.concat(F.lit("2"), F.col("k2_"))).when(F.col("n1_") >= min_group, F.concat(F.lit("1"), F.col("k1_"))).when(F.col("n0_") >= min_group, F.lit("0"))
-    groups = staged(groups.select("k2_", g.alias("g_")), "groups")
+    groups = n2.join(n1, "k1_", "left").crossJoin(F.broadcast(rest))  # rest is one row: a constant for the whole table
+    level = lambda a, b, c: F.when(F.col("n2_") >= min_group, a).when(F.col("n1_") >= min_group, b).when(F.col("n0_") >= min_group, c)
+    g = level(F.concat(F.lit("2"), F.col("k2_")), F.concat(F.lit("1"), F.col("k1_")), F.lit("0"))
+    groups = staged(groups.select("k2_", g.alias("g_"), level("source", "language", "all").alias("estimate_"), level(F.col("n2_"), F.col("n1_"), F.col("n0_")).alias("gn_")), "groups")
     n = groups.count()
-    x = transformed()
-    grouped = rows.join(_few(groups, n), "k2_", "left").withColumns({f"x{i}": x[i] for i in range(DIMS)})
-    model = mcd_models(grouped.where(~F.col("base_failed") & F.col("g_").isNotNull()).select("g_", *[f"x{i}" for i in range(DIMS)]), n)
-    m = model.withColumnRenamed("g_", "gm_")
-    cov = {(i, j): F.col(f"c{i}{j}") for i in range(DIMS) for j in range(i, DIMS)}
-    xs = [F.col("x0"), F.greatest(F.col("x1"), F.col("m1")), F.greatest(F.col("x2"), F.col("m2"))]
-    d2 = distance(xs, [F.col(f"m{i}") for i in range(DIMS)], cov)
-    out = grouped.join(_few(m, n), F.col("g_") == F.col("gm_"), "left").withColumn("distance", F.when(~F.col("base_failed"), d2))
-    return out.select(*names, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
+    grouped = rows.join(_few(groups, n), "k2_", "left")
+    model = mcd_models(grouped.where(~F.col("failed_") & F.col("g_").isNotNull()).select("g_", "u_", "gn_", *XS), n)
+    out = grouped.join(_few(model.withColumnRenamed("g_", "gm_"), n), F.col("g_") == F.col("gm_"), "left").withColumn("d2_", F.when(~F.col("failed_"), distance()))
+    return out.select(*[F.col(m).alias(c) for c, m in zip(names, mine)], F.col("failed_").alias("base_failed"), F.col("d2_").alias("distance"),
+                      F.when(F.col("d2_").isNotNull(), F.col("estimate_")).alias("estimate"), (~F.col("failed_") & F.coalesce(F.col("d2_") <= cutoff, F.lit(True))).alias("kept"))
 
 
 def op9_quality(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     stats = staged(with_stats(docs, "text", [F.col("doc_id"), F.col("lang"), F.col("source")]), "stats")
-    return quality_rules(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "estimate")
