@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a temporary one where none is set (local mode)."""
+    """The folder that every executor sees: spark.checkpoint.dir. A session in one process may do without: it gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"quadrille-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return root.rstrip("/")
@@ -31,14 +34,23 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/quadrille/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """The rows written to the shared folder and read again: cuts lineage, and a lost executor loses nothing of it."""
     spark = df.sparkSession
-    path = new_dir(spark, label)
+    path = path or new_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys up to so many are broadcast to the rows they drop or choose (about 100 bytes each); more meet the rows by a shuffle.
+MOST_BROADCAST_KEYS = 1_000_000
+
+
+def checked(keys: DataFrame) -> DataFrame:
+    """A written table of keys, marked for broadcast where its counted size allows it."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST_KEYS else keys
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Deletes a folder that new_dir() named."""
     jvm = spark.sparkContext._jvm

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import col, staged, table
+from quadrille.llm.common import col, new_dir, remove_dir, staged, table
 
 RADIUS = 4
 SHINGLE = 4
@@ -45,6 +45,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255):  # 255 at a time, summed in bytes
         bits = np.unpackbits(hashes[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -77,41 +82,38 @@ def _planes(fps: np.ndarray) -> np.ndarray:
 
 
 class Counters:
-    """Carry-save counters of three bit slices, and a slice that remembers a count of eight or more."""
+    """Carry-save counters: as many bit slices as the radius needs, and a slice that remembers a count beyond them."""
 
-    def __init__(self, shape):
-        self.one, self.two, self.four, self.past = (np.zeros(shape, np.uint64) for _ in range(4))
+    def __init__(self, shape, radius: int):
+        self.slices = [np.zeros(shape, np.uint64) for _ in range(max(1, radius.bit_length()))]
+        self.past, self.radius = np.zeros(shape, np.uint64), radius
 
     def add(self, plane: np.ndarray) -> None:
-        carry = self.one & plane
-        self.one ^= plane
-        carry2 = self.two & carry
-        self.two ^= carry
-        carry4 = self.four & carry2
-        self.four ^= carry2
-        self.past |= carry4
-
-    def over(self, radius: int) -> np.ndarray:
-        """Lanes whose count exceeds radius (under eight)."""
+        carry = plane
+        for k, s in enumerate(self.slices):
+            self.slices[k], carry = s ^ carry, s & carry
+        self.past |= carry
+
+    def over(self) -> np.ndarray:
+        """Lanes whose count exceeds the radius."""
         out = self.past.copy()
-        slices = (self.one, self.two, self.four)
         equal = ~np.zeros_like(out)
-        for k in (2, 1, 0):
-            if radius >> k & 1:
-                equal &= slices[k]
+        for k in reversed(range(len(self.slices))):
+            if self.radius >> k & 1:
+                equal &= self.slices[k]
             else:
-                out |= equal & slices[k]
-                equal &= ~slices[k]
+                out |= equal & self.slices[k]
+                equal &= ~self.slices[k]
         return out
 
 
 def _close(differ, shape, idle: np.ndarray, radius: int) -> np.ndarray:
     """Lanes not idle whose distance is at most radius. differ(k): plane k of the differences."""
-    counters = Counters(shape)
+    counters = Counters(shape, radius)
     for k in range(64):
         counters.add(differ(k))
         if k % 8 == 7:
-            far = counters.over(radius)
+            far = counters.over()
             if not (~(far | idle)).any():  # the whole block is beyond the radius
                 return np.zeros(shape, np.uint64)
     return ~(far | idle)
@@ -272,33 +274,47 @@ def fingerprint_links(nodes: DataFrame, n: int, radius: int = RADIUS, chunk: int
 
 
 def components(links: DataFrame, label: str = "star") -> DataFrame:
-    """node, root: the smallest node reachable, for every node in a link; rounds of large-star and small-star."""
-    edges = staged(links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), f"{label}-0")
+    """node, root: the smallest node reachable, for every node in a link; rounds of large-star and small-star.
+
+    Each round's tables are written; those of the round before are then deleted.
+    """
+    spark, made = links.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(new_dir(spark, f"{label}-{name}"))
+        return staged(df, name, made[-1])
+
+    edges = kept(links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "0")
     k = 0
     while True:
         both = edges.select("lo", "hi").union(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(staged(low, f"{label}-low"), "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
-        large = staged(large.where("lo <> hi").distinct(), f"{label}-large")
+        large = both.join(kept(low, "low"), "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
+        large = kept(large.where("lo <> hi").distinct(), "large")
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(staged(low, f"{label}-low"), "hi").select("lo", "hi", "m")
+        small = large.join(kept(low, "low"), "hi").select("lo", "hi", "m")
         small = small.select(F.col("m").alias("lo"), "hi").union(small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")))
         k += 1
-        after = staged(small.where("lo <> hi").distinct(), f"{label}-{k}")
+        edges = kept(small.where("lo <> hi").distinct(), str(k))
+        for path in made[:-1]:
+            remove_dir(spark, path)
+        del made[:-1]
         # A forest of stars: no centre is anyone's leaf, and no leaf has two centres.
-        leaves = after.groupBy("hi").agg(F.count(F.lit(1)).alias("n"))
-        if leaves.where("n > 1").isEmpty() and after.select(F.col("lo").alias("hi")).join(after.select("hi"), "hi", "left_semi").isEmpty():
-            return after.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        edges = after
+        leaves = edges.groupBy("hi").agg(F.count(F.lit(1)).alias("n"))
+        if leaves.where("n > 1").isEmpty() and edges.select(F.col("lo").alias("hi")).join(edges.select("hi"), "hi", "left_semi").isEmpty():
+            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of df.
 
-    Texts without words (null ones too) have fingerprint zero and are linked like others. Rows with a null id are linked to
+    radius: from 0 to 16; the keys grow fast with it, so that what is wanted beyond a few bits is near_copies() with its exact
+    check. Texts of any length are read whole. Texts without words (null ones too) have fingerprint zero and are linked like others. Rows with a null id are linked to
     none; they get the component of their fingerprint, null if no row with an id has it. Repeated rows give repeated
     rows. Other columns are not read. An empty table gives an empty result.
     """
+    if not 0 <= radius <= 16:
+        raise ValueError(f"a radius of {radius} bits")
     marks = staged(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     nodes = staged(marks.groupBy("fp").agg(F.min("id").alias("rep")).where(F.col("rep").isNotNull()), "nodes")
     links = fingerprint_links(nodes, nodes.count(), radius)

@@ -10,6 +10,10 @@ import os
 import re
 import unicodedata
 
+#: Words up to so many bytes are remembered: longer ones (a text without blanks is one word) seldom come again.
+LONGEST_KEPT = 64
+#: What an entry takes besides its word and ids.
+ENTRY_BYTES = 200
 #: Letters of Latin blocks, which lower-case one by one alike in every library.
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 _SUFFIX = re.compile(rb"^(.*?[^.,;:!?$&%*#)])([.,;:!?$&%*#)]+)$", re.DOTALL)
@@ -25,10 +29,11 @@ def byte_letters() -> str:
 
 
 class _Ids(dict):
-    """word (UTF-8) -> its ids as little-endian unsigned 32-bit integers."""
+    """word (UTF-8) -> its ids as little-endian unsigned 32-bit integers. Forgets all once `limit` bytes are held."""
 
     def __init__(self, path: str, limit: int):
         super().__init__()
+        self.held = 0
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -45,9 +50,12 @@ class _Ids(dict):
             ids = b"".join(t.id.to_bytes(4, "little") for t in found)
         else:
             ids = self.ask(word)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = ids
+        if len(word) <= LONGEST_KEPT:
+            self.held += len(word) + len(ids) + ENTRY_BYTES
+            if self.held > self.limit:
+                self.clear()
+                self.held = len(word) + len(ids) + ENTRY_BYTES
+            self[word] = ids
         return ids
 
     def ask(self, word: bytes) -> bytes:
@@ -56,9 +64,9 @@ class _Ids(dict):
 
 
 class TextEncoder:
-    """Whole texts to id bytes. At most `limit` words are remembered."""
+    """Whole texts to id bytes. Words of `limit` bytes in all, with their ids, are remembered at most."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 160 << 20):
         self.ids = _Ids(path, limit)
         # Tokenizers that keep white space in their pieces are asked for whole texts.
         self.whole = self.ids.ask(b" stone  river\n") != self.ids.ask(b"stone") + self.ids.ask(b"river")
