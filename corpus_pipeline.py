@@ -1,67 +1,5 @@
-"""Documents to packed training sequences in five stages.
+"""The pipeline of quadrille.llm.pipeline, where the driver looks for it."""
 
-Quality rules, exact duplicates, near duplicates, mixing of sources, packing. Each stage gets what its predecessor kept,
-written and read again, and all but the last return the columns of documents.
-"""
+from quadrille.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quadrille.llm.common import staged, table
-from quadrille.llm.exact_dedup import exact_dedup
-from quadrille.llm.jaccard import jaccard_dedup
-from quadrille.llm.mixing import pareto_mix
-from quadrille.llm.packing import best_fit_pack
-from quadrille.llm.quality import quality_rules, with_stats
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject. Verdicts are tied to id and content, so repeated ids are judged each."""
-    docs = docs.select(*COLUMNS)
-    content = F.xxhash64("text", "lang", "source")
-    stats = staged(with_stats(docs, "text", [F.col("doc_id"), F.col("lang"), F.col("source"), content.alias("content")]), "stats")
-    rejected = quality_rules(stats).where("not kept").select(F.col("doc_id").alias("id_r"), F.col("content").alias("content_r"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("id_r")) & (content == F.col("content_r")), "left_anti")
-
-
-def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    return exact_dedup(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
-
-
-def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each component of texts whose sets of five words have similarity 0.8; rows without an id stay.
-
-    What is dropped is tied to id and content, so one text of a repeated id may stay where another goes.
-    """
-    docs, content = docs.select(*COLUMNS), F.xxhash64("text", "lang", "source")
-    dropped = jaccard_dedup(docs, "doc_id", content).select(F.col("id").alias("id_r"), F.col("content").alias("content_r"))
-    return docs.join(dropped, (F.col("doc_id") == F.col("id_r")) & (content == F.col("content_r")), "left_anti")
-
-
-def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    drawn = pareto_mix(docs.select(*COLUMNS)).where("copies > 0")
-    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
-
-
-def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences."""
-    return best_fit_pack(docs)
-
-
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]
-
-#: Tokenisation, fingerprints and packing are beyond SQL.
-ORACLE_SQL = None
-
-
-def run(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
