@@ -142,8 +142,8 @@ def pareto_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     64ths; without it all documents of a source are drawn alike. Null sources are a source of their own, the last; null
     texts have no words; rows without words are never drawn by the closing step. Texts of any length are one document. Equal
     draws are put in order by id; rows that repeat an id share one draw, so that they are taken together, and those that repeat
-    id and size close together. As copies are whole, a source's words miss the target by less than its smallest document that
-    is not drawn (where no id is repeated, and CLOSING documents suffice). An empty table gives an empty result. Columns of df named like the added ones are
+    id and size close together. As copies are whole, a source's words miss the target by up to half of the smallest
+    document that closing leaves (where no id is repeated, and CLOSING documents suffice). An empty table gives an empty result. Columns of df named like the added ones are
     replaced, other names never clash.
     """
     made = ["size", "source_size", "target", "taken", "copies"]

@@ -144,10 +144,8 @@ def test_mixing(docs, none, rows):
         assert r.source_size == n[r.source] and r.target == pytest.approx(target[r.source]) and r.taken == r.copies * r.size and 0 <= r.copies <= 3
         taken[r.source] += r.taken
     for s in n:
-        if target[s] < 3 * n[s] - 0.5:  # nearer than the smallest document that is not drawn, as ids are not repeated there
-            mine = [r for r in got if r.source == s and r.size]
-            least = min(r.copies for r in mine)
-            assert abs(taken[s] - target[s]) <= min(r.size for r in mine if r.copies == least)
+        # Whole copies come as near as half of the smallest document that is left, here at most the largest.
+        assert abs(taken[s] - target[s]) <= max(r.size for r in got if r.source == s) / 2
     assert Counter(mixing.pareto_mix(docs).select("doc_id", "taken").collect()) == Counter((r.doc_id, r.taken) for r in got)
     assert mixing.pareto_mix(none).collect() == []
 
