@@ -43,7 +43,7 @@ def staged(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
 
 #: Keys up to so many are broadcast to the rows they drop or choose (about 100 bytes each); more meet the rows by a shuffle.
-MOST_BROADCAST_KEYS = 1_000_000
+MOST_BROADCAST_KEYS = 500_000
 
 
 def checked(keys: DataFrame) -> DataFrame:
