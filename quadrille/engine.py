@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as g
-from quadrille.operators.joins import distance_join, find_relation, predicate_join, relation_counts
-from quadrille.operators.selection import count_by_query, knn_batch, knn_queries, one_query, range_batch
+from quadrille.operators.joins import disjoint_count, distance_join, find_relation, intervals, predicate_join, relation_counts
+from quadrille.operators.selection import count_by_query, knn_batch, knn_queries, range_batch, range_wkt
 from quadrille.plans.grid import grid_for, layer_class
 from quadrille.sources import geometry as source
 from quadrille.types import (
-    Bounds, DistanceJoinQuery, FileType, IndexType, InvalidParameter, InvalidQueryType, KNNQuery, PredicateJoinQuery, Query, QueryType,
+    Bounds, DataType, DistanceJoinQuery, FileType, IndexType, InvalidParameter, InvalidQueryType, KNNQuery, PredicateJoinQuery, Query, QueryType,
     RangeQuery, ResultType, UnknownDataset, member,
 )
 
@@ -53,15 +53,29 @@ class SpatialEngine:
                 self.datasets[i] = replace(self.datasets[i], bounds=b)
 
     def build_index(self, numbers: list[int], index_type=IndexType.TWO_LAYER) -> None:
-        """Keeps the datasets' rows by cell in memory, with layer classes for the two-layer index."""
+        """Keeps the datasets' rows by cell in memory, with layer classes for the two-layer index.
+
+        With april_order, the rows have their raster intervals. Joins of datasets that were indexed together meet there, cell by
+        cell, without a shuffle. What an index held before is let go.
+        """
         index_type = member(IndexType, index_type)
         self.partition(numbers)
         grid = grid_for(*[self.dataset(i) for i in numbers], n=self.cells_per_dim)
         for i in numbers:
-            cells = grid.exploded(self.datasets[i].df)
+            self._forget(i)
+            data = self.datasets[i]
+            if self.april_order and data.kind in (DataType.LINESTRING, DataType.POLYGON, DataType.BOX):
+                data = intervals(data, self.april_order, grid.bounds)
+            cells = grid.exploded(data.df)
             if index_type == IndexType.TWO_LAYER:
                 cells = cells.withColumn("cls", layer_class())
             self.indexes[i] = cells.repartition("cell").persist()
+            self.datasets[i] = replace(data, cells=self.indexes[i], grid=grid)
+
+    def _forget(self, number: int) -> None:
+        if index := self.indexes.pop(number, None):
+            index.unpersist()
+            self.datasets[number] = replace(self.datasets[number], cells=None, grid=None)
 
     def save(self, number: int, path: str) -> None:
         source.save(self.dataset(number), path)
@@ -70,8 +84,8 @@ class SpatialEngine:
         return self.add(source.load(self.spark, path, data_type))
 
     def unload_dataset(self, number: int) -> None:
-        if index := self.indexes.pop(number, None):
-            index.unpersist()
+        if number in self.datasets:
+            self._forget(number)
         self.datasets.pop(number, None)
 
     def finalize(self) -> None:
@@ -83,7 +97,7 @@ class SpatialEngine:
     def query(self, q: Query) -> DataFrame:
         """COUNT: n, or relation and n. COLLECT: ids. KNN: rank, rec_id, dist."""
         if isinstance(q, RangeQuery):
-            hits = range_batch(self.dataset(q.dataset), one_query(self.spark, q.wkt, q.query_id)).select("rec_id")
+            hits = range_wkt(self.dataset(q.dataset), q.wkt)
         elif isinstance(q, KNNQuery):
             return self.query_batch([q], QueryType.KNN).drop("qid")
         elif isinstance(q, DistanceJoinQuery):
@@ -91,8 +105,10 @@ class SpatialEngine:
         elif isinstance(q, PredicateJoinQuery):
             r, s = self.dataset(q.r), self.dataset(q.s)
             if q.kind == QueryType.FIND_RELATION:
-                found = find_relation(r, s, self.cells_per_dim)
+                found = find_relation(r, s, self.cells_per_dim, self.april_order)
                 return relation_counts(found) if q.result == ResultType.COUNT else found
+            if q.kind == QueryType.DISJOINT and q.scope == "all" and q.result == ResultType.COUNT:
+                return disjoint_count(r, s, self.cells_per_dim, self.april_order)
             hits = predicate_join(r, s, q.kind, self.cells_per_dim, q.scope, self.april_order)
         else:
             raise InvalidQueryType(type(q).__name__)

@@ -80,12 +80,6 @@ def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
-def distance_to_box(x: Column, y: Column, box: dict[str, Column]) -> Column:
-    dx = F.greatest(box["xmin"] - x, F.lit(0.0), x - box["xmax"])
-    dy = F.greatest(box["ymin"] - y, F.lit(0.0), y - box["ymax"])
-    return F.sqrt(dx * dx + dy * dy)
-
-
 def on_ring(x: Column, y: Column, ring_edges: Column) -> Column:
     """Whether a point is on a ring's line; the ring is given by its edges()."""
 
@@ -126,8 +120,14 @@ def overlap(r: dict[str, Column], s: dict[str, Column]) -> Column:
     return (r["xmin"] <= s["xmax"]) & (s["xmin"] <= r["xmax"]) & (r["ymin"] <= s["ymax"]) & (s["ymin"] <= r["ymax"])
 
 
-def overlap_inside(r: dict[str, Column], s: dict[str, Column]) -> Column:
-    return (r["xmin"] < s["xmax"]) & (s["xmin"] < r["xmax"]) & (r["ymin"] < s["ymax"]) & (s["ymin"] < r["ymax"])
+def interiors_meet(r: dict[str, Column], s: dict[str, Column]) -> Column:
+    """Boxes whose interiors share a point. A box without width or height is a line or a point, with an interior of its own."""
+
+    def axis(lo: str, hi: str) -> Column:
+        a, b, c, d = r[lo], r[hi], s[lo], s[hi]
+        return (F.when((a == b) & (c == d), a == c).when(a == b, (c < a) & (a < d)).when(c == d, (a < c) & (c < b)).otherwise((a < d) & (c < b)))
+
+    return axis("xmin", "xmax") & axis("ymin", "ymax")
 
 
 def within(r: dict[str, Column], s: dict[str, Column]) -> Column:
@@ -135,18 +135,27 @@ def within(r: dict[str, Column], s: dict[str, Column]) -> Column:
 
 
 def box_predicate(name: str, r: dict[str, Column], s: dict[str, Column]) -> Column:
-    """The predicates on boxes of positive area, in closed form."""
+    """The predicates on boxes, in closed form; boxes may be lines or points."""
     return {
-        "intersect": lambda: overlap(r, s), "disjoint": lambda: ~overlap(r, s), "meet": lambda: overlap(r, s) & ~overlap_inside(r, s),
-        "inside": lambda: within(r, s), "covered_by": lambda: within(r, s), "contains": lambda: within(s, r), "covers": lambda: within(s, r),
+        "intersect": lambda: overlap(r, s), "disjoint": lambda: ~overlap(r, s), "meet": lambda: overlap(r, s) & ~interiors_meet(r, s),
+        "inside": lambda: within(r, s) & interiors_meet(r, s), "covered_by": lambda: within(r, s),
+        "contains": lambda: within(s, r) & interiors_meet(r, s), "covers": lambda: within(s, r),
         "equal": lambda: within(r, s) & within(s, r),
     }[name]()
 
 
 def box_relation(r: dict[str, Column], s: dict[str, Column]) -> Column:
-    """Relation code of two boxes of positive area."""
-    return (F.when(~overlap(r, s), 0).when(within(r, s) & within(s, r), 6).when(within(s, r), 3).when(within(r, s), 2)
-            .when(~overlap_inside(r, s), 7).otherwise(1))
+    """Relation code of two boxes."""
+    deep = interiors_meet(r, s)
+    return (F.when(~overlap(r, s), 0).when(within(r, s) & within(s, r), 6).when(within(s, r), F.when(deep, 3).otherwise(5))
+            .when(within(r, s), F.when(deep, 2).otherwise(4)).when(~deep, 7).otherwise(1))
+
+
+def box_distance(r: dict[str, Column], s: dict[str, Column]) -> Column:
+    """Distance of two boxes, either of which may be a point."""
+    dx = F.greatest(r["xmin"] - s["xmax"], F.lit(0.0), s["xmin"] - r["xmax"])
+    dy = F.greatest(r["ymin"] - s["ymax"], F.lit(0.0), s["ymin"] - r["ymax"])
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def mbr_case(r: dict[str, Column], s: dict[str, Column], eps: float = 1e-8) -> Column:

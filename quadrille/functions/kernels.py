@@ -422,8 +422,9 @@ def predicate_column(name: str, tr: Column, r: Column, ts: Column, s: Column, kn
     return _by_pair("boolean", lambda r, s: predicate(name, r, s), quick)(tr, r, ts, s, F.lit(None).cast("boolean") if known is None else known)
 
 
-def matrix_column(tr: Column, r: Column, ts: Column, s: Column) -> Column:
-    return _by_pair("string", relate, _quick_matrix)(tr, r, ts, s, F.lit(None).cast("string"))
+def matrix_column(tr: Column, r: Column, ts: Column, s: Column, known: Column | None = None) -> Column:
+    """The matrix of two geometries; where known is not null, that instead."""
+    return _by_pair("string", relate, _quick_matrix)(tr, r, ts, s, F.lit(None).cast("string") if known is None else known)
 
 
 def distance_column(tr: Column, r: Column, ts: Column, s: Column) -> Column:
@@ -431,7 +432,7 @@ def distance_column(tr: Column, r: Column, ts: Column, s: Column) -> Column:
     def run(tr: pa.Array, r: pa.Array, ts: pa.Array, s: pa.Array) -> pa.Array:
         return pa.array([shape_distance(a, g, b, h) for a, g, b, h in zip(tr.to_pylist(), _lists(r), ts.to_pylist(), _lists(s))], pa.float64())
 
-    return run(tr, r, ts, s)
+    return run.asNondeterministic()(tr, r, ts, s)
 
 
 def relation_from_matrix(case: Column, matrix: Column) -> Column:

@@ -132,11 +132,48 @@ def lists_meet(a: Column, b: Column, order: int) -> Column:
     return run(a, b)
 
 
-def list_within(a: Column, b: Column) -> Column:
-    return F.forall(a, lambda i: F.exists(b, lambda j: (j["s"] <= i["s"]) & (i["e"] <= j["e"])))
+def list_within(a: Column, b: Column, order: int) -> Column:
+    """Whether every interval of the first sorted list lies in one of the second, whose runs do not touch each other."""
+
+    @F.arrow_udf("boolean")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        (rows, start, end), (_, s, e) = _laid_out(a, order), _laid_out(b, order)
+        out = np.ones(len(a), bool)
+        if len(rows):
+            at = np.searchsorted(s, start, "right") - 1
+            inside = (at >= 0) & (np.append(e, -1)[at] >= end)
+            out[rows[~inside]] = False
+        return pa.array(out)
+
+    return run(a, b)
 
 
 def verdict(r: Column, s: Column, order: int) -> Column:
-    """Of intersection: MISS, HIT or UNSURE."""
+    """Of intersection: MISS, HIT or UNSURE. HIT: the interiors have a point in common."""
     return (F.when(~lists_meet(r["all_"], s["all_"], order), "MISS")
             .when(lists_meet(r["all_"], s["full_"], order) | lists_meet(r["full_"], s["all_"], order), "HIT").otherwise("UNSURE"))
+
+
+def predicate_verdict(name: str, r: Column, s: Column, order: int) -> Column:
+    """true, false, or null where the intervals do not tell.
+
+    A filled cell that the other does not touch lies outside of the other; a shape whose every touched cell is filled by the
+    other lies in its interior.
+    """
+    yes, no = F.lit(True), F.lit(False)
+    part = {"inside": (r, s), "covered_by": (r, s), "contains": (s, r), "covers": (s, r)}
+    if name in part:
+        inner, outer = part[name]
+        return F.when(list_within(inner["all_"], outer["full_"], order), yes).when(~list_within(inner["full_"], outer["all_"], order), no).when(~lists_meet(r["all_"], s["all_"], order), no)
+    if name == "equal":
+        return F.when(~(list_within(r["full_"], s["all_"], order) & list_within(s["full_"], r["all_"], order)), no)
+    seen = verdict(r, s, order)
+    hit, miss = {"intersect": (yes, no), "disjoint": (no, yes), "meet": (no, no)}[name]
+    return F.when(seen == "HIT", hit).when(seen == "MISS", miss)
+
+
+def relation_verdict(case: Column, r: Column, s: Column, order: int) -> Column:
+    """Relation code of a pair, or null where the intervals do not tell. case: how the boxes lie."""
+    seen = verdict(r, s, order)
+    return (F.when(seen == "MISS", 0).when(list_within(r["all_"], s["full_"], order), 2).when(list_within(s["all_"], r["full_"], order), 3)
+            .when((seen == "HIT") & (case == "INTERSECT"), 1))

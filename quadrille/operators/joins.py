@@ -2,23 +2,26 @@
 
 Both sides are dealt to grid cells and joined on the cell; a pair is kept in the one cell that holds the lower left corner
 of what their boxes share, so that nothing needs a distinct. Boxes are decided in closed form, other shapes by the exact
-kernel, which sees only pairs whose boxes overlap.
+kernel, which sees only pairs whose boxes overlap. Sets that are held by cell on the same grid are joined where they lie.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as g
-from quadrille.functions.kernels import matrix_column, predicate_column, relation_from_matrix
-from quadrille.operators.april import verdict, with_intervals
+from quadrille.functions.kernels import distance_column, matrix_column, predicate_column, relation_from_matrix
+from quadrille.operators.april import predicate_verdict, relation_verdict, with_intervals
 from quadrille.plans.grid import Grid, grid_for
 from quadrille.sources.geometry import BOX, Geometries
 from quadrille.types import DataType, InvalidParameter, PREDICATES, Relation, UnsupportedFeature, query_type
 
+#: Rows of a join's sets for each task of its exact tests, beyond the least number of tasks.
+ROWS_A_TASK = 25_000
+
 
 def _named(name):
     kind = query_type(name) if isinstance(name, str) else name
@@ -29,21 +32,35 @@ def _named(name):
 
 def _side(x: Geometries, grid: Grid, suffix: str, shape: bool, margin: float = 0.0) -> DataFrame:
     columns = ["rec_id", *BOX, *(["gtype", "pts"] if shape else []), *[c for c in ("april", "edges") if c in x.df.columns]]
-    df = grid.exploded(x.df.select(*columns), margin)
+    if x.cells is not None and x.grid == grid and not margin and set(columns) <= set(x.cells.columns):
+        df = x.cells
+    else:
+        df = grid.exploded(x.df.select(*columns), margin)
     return df.select("cell", "ix", "iy", *[F.col(c).alias(f"{c}_{suffix}") for c in (*columns, "ix0", "iy0")])
 
 
+def _grid(r: Geometries, s: Geometries, n: int | None) -> Grid:
+    """The grid on which both are held already, else one for their bounds and sizes."""
+    if r.grid is not None and r.grid == s.grid and n in (None, r.grid.n):
+        return r.grid
+    return grid_for(r, s, n=n)
+
+
 def _boxes():
     return ({c: F.col(f"{c}_r") for c in BOX}, {c: F.col(f"{c}_s") for c in BOX})
 
 
-def mbr_pairs(r: Geometries, s: Geometries, n: int | None = None, grid: Grid | None = None, shape: bool = True, prefilter=None) -> DataFrame:
-    """Pairs whose boxes overlap (touching included), each once: rec_id_r, rec_id_s and what the predicates need."""
-    grid = grid or grid_for(r, s, n=n)
-    a, b = _side(r, grid, "r", shape), _side(s, grid, "s", shape).drop("ix", "iy")
+def mbr_pairs(r: Geometries, s: Geometries, n: int | None = None, grid: Grid | None = None, shape: bool = True, prefilter=None, margin: float = 0.0) -> DataFrame:
+    """Pairs whose boxes overlap (touching included), each once: rec_id_r, rec_id_s and what the predicates need.
+
+    margin: r's boxes are widened by it.
+    """
+    grid = grid or _grid(r, s, n)
+    a, b = _side(r, grid, "r", shape, margin), _side(s, grid, "s", shape).drop("ix", "iy")
     br, bs = _boxes()
+    wide = {c: br[c] - margin if c.endswith("min") else br[c] + margin for c in BOX} if margin else br
     once = (F.col("ix") == F.greatest("ix0_r", "ix0_s")) & (F.col("iy") == F.greatest("iy0_r", "iy0_s"))
-    pairs = a.join(b, "cell").where(g.overlap(br, bs) & once)
+    pairs = a.join(b, "cell").where(g.overlap(wide, bs) & once)
     return pairs.where(prefilter(br, bs)) if prefilter else pairs
 
 
@@ -51,9 +68,9 @@ def _closed_form(r: Geometries, s: Geometries) -> bool:
     return r.kind == s.kind == DataType.BOX
 
 
-def _spread(pairs: DataFrame) -> DataFrame:
-    """Candidates dealt evenly, as the kernel's time is per pair and a dense cell would hold one task."""
-    return pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4)
+def _spread(pairs: DataFrame, grid: Grid) -> DataFrame:
+    """Candidates dealt evenly, as the kernel's time is per pair and a dense cell would hold one task; more tasks for larger sets."""
+    return pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism * 4, grid.rows // ROWS_A_TASK))
 
 
 _PREFILTERS = {
@@ -63,10 +80,28 @@ _PREFILTERS = {
 }
 
 
+def _with_april(r: Geometries, s: Geometries, grid: Grid, order: int) -> tuple[Geometries, Geometries]:
+    """Both with intervals of the order over the same bounds; those that they have already are used if they fit."""
+    if not 1 <= order <= 16:
+        raise InvalidParameter("an order is from 1 to 16")
+    bounds = r.april[1] if r.april and r.april == s.april and r.april[0] == order else grid.bounds
+    return tuple(x if x.april == (order, bounds) else intervals(x, order, bounds) for x in (r, s))
+
+
+def intervals(x: Geometries, order: int, bounds) -> Geometries:
+    """x with raster intervals of the order over the bounds, which hold x."""
+    return replace(x, df=with_intervals(x.df.drop("april"), bounds, order), april=(order, bounds), cells=None, grid=None)
+
+
+def _shapes() -> list[Column]:
+    return [F.col("gtype_r"), g.flat(F.col("pts_r")), F.col("gtype_s"), g.flat(F.col("pts_s"))]
+
+
 def predicate_join(r: Geometries, s: Geometries, predicate, n: int | None = None, scope: str = "candidates", april_order: int | None = None) -> DataFrame:
     """id_r, id_s of pairs for which the predicate holds. predicate: intersect, inside, disjoint, equal, meet, contains, covers, covered_by.
 
-    disjoint is asked of pairs whose boxes overlap; with scope "all", of all pairs, which is quadratic. april_order: also
+    disjoint is asked of pairs whose boxes overlap; with scope "all", of all pairs, and the result is quadratic (disjoint_count()
+    counts it without). april_order: also
     filter by raster intervals of this order before the exact test; results are the same.
     """
     name = _named(predicate)
@@ -80,11 +115,9 @@ def predicate_join(r: Geometries, s: Geometries, predicate, n: int | None = None
     if _closed_form(r, s):
         pairs = mbr_pairs(r, s, n, shape=False).where(g.box_predicate(name, br, bs))
     else:
-        grid = grid_for(r, s, n=n)
+        grid = _grid(r, s, n)
         if april_order:
-            if not 1 <= april_order <= 16:
-                raise InvalidParameter("an order is from 1 to 16")
-            r, s = (replace(x, df=with_intervals(x.df, grid.bounds, april_order)) for x in (r, s))
+            r, s = _with_april(r, s, grid, april_order)
         if points := {r.kind, s.kind} == {DataType.POINT, DataType.POLYGON} and name in ("intersect", "inside", "contains"):
             r, s = (replace(x, df=g.computed(x.df, edges=g.edges(F.col("pts")))) if x.kind == DataType.POLYGON else x for x in (r, s))
         pairs = mbr_pairs(r, s, grid=grid, prefilter=_PREFILTERS.get(name))
@@ -96,25 +129,37 @@ def predicate_join(r: Geometries, s: Geometries, predicate, n: int | None = None
         else:
             known = None
             if april_order:  # what the intervals decide does not reach the kernel
-                seen = verdict(F.col("april_r"), F.col("april_s"), april_order)
-                answers = {"intersect": (True, False), "disjoint": (False, True)}.get(name, (None, False))
-                known = F.when(seen == "HIT", F.lit(answers[0]).cast("boolean")).when(seen == "MISS", F.lit(answers[1]))
-                pairs = pairs.withColumn("known", known).drop("april_r", "april_s")
+                pairs = pairs.withColumn("known", predicate_verdict(name, F.col("april_r"), F.col("april_s"), april_order)).drop("april_r", "april_s")
                 known = F.col("known")
-            shapes = [F.col("gtype_r"), g.flat(F.col("pts_r")), F.col("gtype_s"), g.flat(F.col("pts_s"))]
-            pairs = _spread(pairs).where(predicate_column(name, *shapes, known))
+            pairs = _spread(pairs, grid).where(predicate_column(name, *_shapes(), known))
     return pairs.select(F.col("rec_id_r").alias("id_r"), F.col("rec_id_s").alias("id_s"))
 
 
-def find_relation(r: Geometries, s: Geometries, n: int | None = None) -> DataFrame:
-    """relation (code), id_r, id_s for each pair whose boxes overlap."""
+def disjoint_count(r: Geometries, s: Geometries, n: int | None = None, april_order: int | None = None) -> DataFrame:
+    """n: pairs of all rows that share no point, as all pairs less those that do; no pair is made that shares none."""
+    both = r.df.agg(F.count(F.lit(1)).alias("a")).crossJoin(s.df.agg(F.count(F.lit(1)).alias("b")))  # a row each
+    meet = predicate_join(r, s, "intersect", n, april_order=april_order).agg(F.count(F.lit(1)).alias("c"))
+    return both.crossJoin(meet).select((F.col("a") * F.col("b") - F.col("c")).alias("n"))
+
+
+def find_relation(r: Geometries, s: Geometries, n: int | None = None, april_order: int | None = None) -> DataFrame:
+    """relation (code), id_r, id_s for each pair whose boxes overlap. april_order: as in predicate_join."""
     br, bs = _boxes()
     if _closed_form(r, s):
         pairs = mbr_pairs(r, s, n, shape=False).withColumn("relation", g.box_relation(br, bs))
     else:
-        matrix = matrix_column(F.col("gtype_r"), g.flat(F.col("pts_r")), F.col("gtype_s"), g.flat(F.col("pts_s")))
-        pairs = _spread(mbr_pairs(r, s, n)).withColumn("case", g.mbr_case(br, bs)).withColumn("matrix", matrix)
-        pairs = pairs.withColumn("relation", relation_from_matrix(F.col("case"), F.col("matrix")))
+        grid = _grid(r, s, n)
+        if april_order:
+            r, s = _with_april(r, s, grid, april_order)
+        pairs = mbr_pairs(r, s, grid=grid).withColumn("case", g.mbr_case(br, bs))
+        known = F.lit(None).cast("string")
+        if april_order:
+            code = relation_verdict(F.col("case"), F.col("april_r"), F.col("april_s"), april_order)
+            pairs = pairs.withColumn("known", code.cast("string")).drop("april_r", "april_s")
+            known = F.col("known")
+        pairs = _spread(pairs, grid).withColumn("matrix", matrix_column(*_shapes(), known))
+        from_matrix = relation_from_matrix(F.col("case"), F.col("matrix"))
+        pairs = pairs.withColumn("relation", F.coalesce(F.col("known").cast("int"), from_matrix) if april_order else from_matrix)
     return pairs.select(F.col("relation").cast("int").alias("relation"), F.col("rec_id_r").alias("id_r"), F.col("rec_id_s").alias("id_s"))
 
 
@@ -130,7 +175,7 @@ def distance_join(r: Geometries, s: Geometries, d: float, n: int | None = None)
     if not d > 0:
         raise InvalidParameter("a distance is above 0")
     if r.kind != DataType.POINT or s.kind != DataType.POINT:
-        raise UnsupportedFeature("distance joins are of points")
+        raise UnsupportedFeature("distance joins are of points; shape_distances() takes others")
     grid = grid_for(r, s, n=n)
     b = grid.bounds
     most = int(max(1, min(b.xmax - b.xmin, b.ymax - b.ymin) / d)) if n is None else grid.n
@@ -139,3 +184,17 @@ def distance_join(r: Geometries, s: Geometries, d: float, n: int | None = None)
     c = s.df.select(grid.cell(grid.index(F.col("xmin"), "x"), grid.index(F.col("ymin"), "y")).alias("cell"), F.col("rec_id").alias("id_s"), F.col("xmin").alias("xs"), F.col("ymin").alias("ys"))
     dx, dy = F.col("xr") - F.col("xs"), F.col("yr") - F.col("ys")
     return a.join(c, "cell").where(dx * dx + dy * dy <= d * d).select("id_r", "id_s")
+
+
+def shape_distances(r: Geometries, s: Geometries, d: float, n: int | None = None) -> DataFrame:
+    """id_r, id_s, dist of geometries of any type at most d apart; 0 if they share a point. Boxes and points are measured in closed form."""
+    if not d > 0:
+        raise InvalidParameter("a distance is above 0")
+    br, bs = _boxes()
+    flat = {r.kind, s.kind} <= {DataType.POINT, DataType.BOX}
+    grid = grid_for(r, s, n=n)
+    pairs = mbr_pairs(r, s, grid=grid, shape=not flat, margin=d).where(g.box_distance(br, bs) <= d)
+    if not flat:
+        pairs = _spread(pairs, grid)
+    found = pairs.withColumn("dist", g.box_distance(br, bs) if flat else distance_column(*_shapes()))
+    return found.where(F.col("dist") <= d).select(F.col("rec_id_r").alias("id_r"), F.col("rec_id_s").alias("id_s"), "dist")

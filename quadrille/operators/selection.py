@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as g
 from quadrille.functions.kernels import predicate_column
-from quadrille.plans.grid import Grid, grid_for
+from quadrille.plans.grid import ROWS_A_CELL, Grid, grid_for
 from quadrille.sources.geometry import BOX, Geometries
 from quadrille.types import Bounds, DataType, InvalidGeometry, InvalidParameter
 
+#: Rows for each task of the exact tests, beyond the least number of tasks.
+ROWS_A_TASK = 25_000
 #: Windows up to this many are broadcast; more are dealt to grid cells like the data.
 BROADCAST_WINDOWS = 16
-KNN_CELLS_PER_DIM = 64
+#: Windows a stream's queries may have: they are broadcast to every batch (a few hundred bytes each).
+MOST_STREAM_WINDOWS = 100_000
+#: Cells a side of the coarsest counts that neighbour queries start from, and of the finest.
+KNN_COARSEST, KNN_FINEST = 8, 4096
 
 
 def windows(queries: DataFrame) -> DataFrame:
@@ -26,47 +33,45 @@ def windows(queries: DataFrame) -> DataFrame:
     return g.computed(w, wedges=g.edges(F.col("wpts")))
 
 
-def _meets(kind: DataType):
-    """Exact test of a candidate and a window; boxes overlap already."""
-    w = {c: F.col(f"w_{c}") for c in BOX}
-    own = {c: F.col(c) for c in BOX}
-    if kind == DataType.POINT:
-        return (F.col("wtype") == "BOX") | g.point_meets_ring(F.col("xmin"), F.col("ymin"), F.col("wedges"))
-    sure = (F.col("wtype") == "BOX") & (g.within(own, w) | F.lit(kind == DataType.BOX))
-    exact = predicate_column("intersect", F.lit(kind.value), g.flat(F.col("pts")), F.lit("POLYGON"), g.flat(F.col("wpts")))
-    return sure, exact
-
-
 def range_batch(data: Geometries, queries: DataFrame, n: int | None = None) -> DataFrame:
-    """qid, rec_id of geometries that share a point with each window (qid, wkt)."""
+    """qid, rec_id of geometries that share a point with each window (qid, wkt). Windows that are none are left out.
+
+    What boxes decide is decided with them; the kernel, in the same pass, gets only the rest, and nothing at all where the
+    data are points, or boxes under windows that are boxes.
+    """
     w = windows(queries)
     box = {c: F.col(f"w_{c}") for c in BOX}
     own = {c: F.col(c) for c in BOX}
-    need = ["rec_id", *BOX, *(["pts"] if data.kind not in (DataType.POINT, DataType.BOX) else [])]
-    rows = data.df.select(*need)
-    if data.kind == DataType.BOX:
-        rows = rows.withColumn("pts", g.box_points(*[F.col(c) for c in BOX]))
-    if queries.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        pairs = rows.join(F.broadcast(w), g.overlap(own, box))
+    flat = data.kind in (DataType.POINT, DataType.BOX)
+    rows = data.df.select("rec_id", *BOX, *([] if flat else ["pts"]))
+    few = queries.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    rings = data.kind == DataType.BOX and not w.where("wtype <> 'BOX'").isEmpty()
+    if few:
+        pairs, tasks = rows.join(F.broadcast(w), g.overlap(own, box)), 0
     else:
         grid = grid_for(data, n=n)
         a = grid.exploded(rows)
         b = grid.exploded(w.select(*w.columns, *[F.col(f"w_{c}").alias(c) for c in BOX])).select("cell", *w.columns, F.col("ix0").alias("wx0"), F.col("iy0").alias("wy0"))
         once = (F.col("ix") == F.greatest("ix0", "wx0")) & (F.col("iy") == F.greatest("iy0", "wy0"))
-        pairs = a.join(b, "cell").where(g.overlap(own, box) & once)
+        pairs, tasks = a.join(b, "cell").where(g.overlap(own, box) & once), grid.rows // ROWS_A_TASK
+    boxes = F.col("wtype") == "BOX"
     if data.kind == DataType.POINT:
-        return pairs.where(_meets(data.kind)).select("qid", "rec_id")
-    sure, exact = _meets(data.kind)
-    # Only undecided pairs reach the kernel.
-    decided = pairs.where(sure).select("qid", "rec_id")
-    unsure = pairs.where(~sure).repartition(data.df.sparkSession.sparkContext.defaultParallelism * 2)
-    return decided.unionByName(unsure.where(exact).select("qid", "rec_id"))
+        pairs = pairs.where(boxes | g.point_meets_ring(F.col("xmin"), F.col("ymin"), F.col("wedges")))
+    elif not flat or rings:
+        if flat:
+            pairs = pairs.withColumn("pts", g.box_points(*[F.col(c) for c in BOX]))
+        known = F.when(boxes & (g.within(own, box) | F.lit(data.kind == DataType.BOX)), F.lit(True))
+        pairs = pairs.withColumn("known", known).repartition(max(data.df.sparkSession.sparkContext.defaultParallelism * 2, tasks))
+        kind = F.lit(data.kind.value)
+        pairs = pairs.where(predicate_column("intersect", kind, g.flat(F.col("pts")), F.lit("POLYGON"), g.flat(F.col("wpts")), F.col("known")))
+    return pairs.select("qid", "rec_id")
 
 
 def count_by_query(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """qid, n for each query, zeros too."""
+    """qid, n for each query, zeros too; n is null where the query's text is no window."""
     found = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    return queries.select("qid").join(found, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
+    sound = g.wkt_tag(F.col("wkt")).isin("POLYGON", "BOX") & g.wkt_points(F.col("wkt")).isNotNull()
+    return queries.select("qid", F.coalesce(sound, F.lit(False)).alias("sound_")).join(found, "qid", "left").select("qid", F.when(F.col("sound_"), F.coalesce("n", F.lit(0))).alias("n"))
 
 
 def range_box(data: Geometries, window: Bounds) -> DataFrame:
@@ -79,9 +84,13 @@ def range_box(data: Geometries, window: Bounds) -> DataFrame:
 
 
 def range_wkt(data: Geometries, wkt: str) -> DataFrame:
-    """rec_id of geometries that share a point with one window."""
-    spark = data.df.sparkSession
-    return range_batch(data, one_query(spark, wkt)).select("rec_id")
+    """rec_id of geometries that share a point with one window; a filter on its box reaches the scan."""
+    spark, corners = data.df.sparkSession, re.findall(rf"({g.NUMBER})\s+({g.NUMBER})", wkt)
+    if not corners:
+        raise InvalidGeometry(f"no window: {wkt[:60]!r}")
+    x, y = ([float(c[i]) for c in corners] for i in (0, 1))
+    near = data.df.where((F.col("xmin") <= max(x)) & (F.col("xmax") >= min(x)) & (F.col("ymin") <= max(y)) & (F.col("ymax") >= min(y)))
+    return range_batch(Geometries(near, data.kind), one_query(spark, wkt)).select("rec_id")
 
 
 def one_query(spark, wkt: str, qid: int = 0, **more) -> DataFrame:
@@ -98,33 +107,53 @@ def knn(data: Geometries, x: float, y: float, k: int) -> DataFrame:
     return near.select(F.row_number().over(Window.orderBy("dist", "rec_id")).alias("rank"), "rec_id", "dist")
 
 
-def knn_batch(data: Geometries, queries: DataFrame, k: int | None = None, n: int = KNN_CELLS_PER_DIM, grid: Grid | None = None) -> DataFrame:
+def knn_batch(data: Geometries, queries: DataFrame, k: int | None = None, n: int | None = None) -> DataFrame:
     """qid, rank, rec_id, dist for (qid, x, y) queries (k: a column if not given); ties by rec_id.
 
-    From the number of points in each of n x n cells, each query gets a distance within which k points surely lie; it then
-    meets only the points in cells that near. Points and queries are joined on cells.
+    Points are counted in the cells of a grid that is as fine as their number asks for (or n cells a side), and the counts are
+    added up to ever coarser grids. From the coarsest, each query gets a distance within which k points surely lie, keeps
+    the cells that near, and goes on to their quarters on the next grid. It then meets only the points of its last cells.
     """
     k_ = F.lit(k) if k else F.col("k")
     q = queries.select("qid", F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy"), k_.alias("k"))
-    grid = grid or grid_for(data, n=n)
-    b = grid.bounds
-    wx, wy = (b.xmax - b.xmin) / grid.n, (b.ymax - b.ymin) / grid.n
-    ix, iy = grid.index(F.col("xmin"), "x"), grid.index(F.col("ymin"), "y")
-    points = data.df.select("rec_id", F.col("xmin").alias("px"), F.col("ymin").alias("py"), grid.cell(ix, iy).alias("cell"))
-    counts = points.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))  # n * n rows at most
-    cx, cy = F.col("cell") % grid.n, F.floor(F.col("cell") / grid.n)
-    x0, y0 = cx * wx + b.xmin, cy * wy + b.ymin
-    gap = lambda v, lo, w: F.greatest(lo - v, v - lo - w, F.lit(0.0))
-    reach = lambda v, lo, w: F.greatest(F.abs(v - lo), F.abs(v - lo - w))
+    made = grid_for(data, n=n)
+    side = KNN_COARSEST
+    while side * 2 <= min(KNN_FINEST, n or max(1, made.rows // ROWS_A_CELL) ** 0.5):
+        side *= 2
+    b, grid = made.bounds, Grid(made.bounds, side)
     eps = 1e-9 * max(1.0, abs(b.xmax), abs(b.xmin), abs(b.ymax), abs(b.ymin))
-    cells = q.crossJoin(F.broadcast(counts)).withColumns({
-        "near": F.sqrt(F.pow(gap(F.col("qx"), x0, F.lit(wx)), 2) + F.pow(gap(F.col("qy"), y0, F.lit(wy)), 2)) - eps,
-        "far": F.sqrt(F.pow(reach(F.col("qx"), x0, F.lit(wx)), 2) + F.pow(reach(F.col("qy"), y0, F.lit(wy)), 2)) + eps})
-    by_far = Window.partitionBy("qid").orderBy("far", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("upto", F.sum("m").over(by_far))
-    enough = F.min(F.when(F.col("upto") >= F.col("k"), F.col("far"))).over(Window.partitionBy("qid"))
-    cells = cells.withColumn("bound", enough).where(F.col("bound").isNull() | (F.col("near") <= F.col("bound")))
-    pairs = points.join(cells.select("qid", "qx", "qy", "k", "cell"), "cell")
+    points = data.df.select("rec_id", F.col("xmin").alias("px"), F.col("ymin").alias("py"), grid.index(F.col("xmin"), "x").alias("cx"), grid.index(F.col("ymin"), "y").alias("cy"))
+    counts = points.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m"))  # KNN_FINEST ** 2 rows at most
+
+    def nearest(cells: DataFrame, at: int) -> DataFrame:
+        """Of each query's cells of a grid of `at` cells a side, those that may hold one of its k points."""
+        wx, wy = (b.xmax - b.xmin) / at, (b.ymax - b.ymin) / at
+        gaps, spans = [], []
+        for v, c, lo, w in ((F.col("qx"), F.col("cx"), b.xmin, wx), (F.col("qy"), F.col("cy"), b.ymin, wy)):
+            low = c * w + lo
+            gaps.append(F.greatest(low - v, v - low - w, F.lit(0.0)))
+            spans.append(F.greatest(F.abs(v - low), F.abs(v - low - w)))
+        cells = cells.withColumns({"near": F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1]) - eps, "far": F.sqrt(spans[0] * spans[0] + spans[1] * spans[1]) + eps})
+        by_far = Window.partitionBy("qid").orderBy("far", "cx", "cy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cells = cells.withColumn("upto", F.sum("m").over(by_far))
+        enough = F.min(F.when(F.col("upto") >= F.col("k"), F.col("far"))).over(Window.partitionBy("qid"))
+        cells = cells.withColumn("bound", enough).where(F.col("bound").isNull() | (F.col("near") <= F.col("bound")))
+        return cells.select("qid", "qx", "qy", "k", "cx", "cy")
+
+    def of_grid(at: int) -> DataFrame:
+        by = side // at
+        return counts.groupBy(F.floor(F.col("cx") / by).cast("int").alias("cx"), F.floor(F.col("cy") / by).cast("int").alias("cy")).agg(F.sum("m").alias("m"))
+
+    at = KNN_COARSEST
+    every = F.explode(F.sequence(F.lit(0), F.lit(at * at - 1)))
+    cells = q.withColumn("c", every).select(*q.columns, (F.col("c") % at).alias("cx"), F.floor(F.col("c") / at).cast("int").alias("cy"))
+    cells = nearest(cells.join(F.broadcast(of_grid(at)), ["cx", "cy"]), at)  # 64 rows at most
+    while at < side:
+        at *= 2
+        quarter = F.explode(F.array(*[F.struct((2 * F.col("cx") + i).alias("x"), (2 * F.col("cy") + j).alias("y")) for i in (0, 1) for j in (0, 1)]))
+        cells = cells.withColumn("c", quarter).select("qid", "qx", "qy", "k", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+        cells = nearest(cells.join(of_grid(at), ["cx", "cy"]), at)
+    pairs = points.join(cells, ["cx", "cy"])
     dist = g.distance(F.col("px"), F.col("py"), F.col("qx"), F.col("qy"))
     ranked = pairs.select("qid", "rec_id", "k", dist.alias("dist")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "rec_id")))
     return ranked.where(F.col("rank") <= F.col("k")).select("qid", "rank", "rec_id", "dist")

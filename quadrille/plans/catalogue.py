@@ -46,9 +46,8 @@ def _line_id():
     return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
 
 
-def box_lineitem(spark, sf, first_only=True):
+def box_lineitem(spark, sf):
     t = _table(spark, sf, "lineitem")
-    t = t.where("l_linenumber = 1") if first_only else t
     return source.from_boxes(t, _line_id(), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_partkey") + F.col("l_quantity"), F.col("l_suppkey") + F.col("l_linenumber"))
 
 
@@ -67,11 +66,20 @@ def diamond_part(spark, sf, shift=0):
     return source.from_vertices(_table(spark, sf, "part"), F.col("p_partkey"), DataType.POLYGON, pts)
 
 
-def seg_lineitem(spark, sf, first_only=True):
-    t = _table(spark, sf, "lineitem")
-    t = t.where("l_linenumber = 1") if first_only else t
-    y = F.col("l_suppkey").cast("double")
-    return source.from_vertices(t, _line_id(), DataType.LINESTRING, F.array(_corner(F.col("l_partkey"), y), _corner(F.col("l_partkey") + F.col("l_quantity"), y)))
+def seg_lineitem(spark, sf, y=F.col("l_suppkey")):
+    ends = F.array(_corner(F.col("l_partkey"), y), _corner(F.col("l_partkey") + F.col("l_quantity"), y))
+    return source.from_vertices(_table(spark, sf, "lineitem"), _line_id(), DataType.LINESTRING, ends)
+
+
+def seg_prices(spark, sf):
+    """Line items at the height of their price by the piece, where the boxes of parts lie."""
+    return seg_lineitem(spark, sf, _whole(F.col("l_extendedprice") / F.col("l_quantity")))
+
+
+def line_part(spark, sf, rise=1):
+    """A line for each part, rising or falling by one in one."""
+    x, y, r = F.col("p_partkey").cast("double"), _whole(F.col("p_retailprice")), F.col("p_size").cast("double")
+    return source.from_vertices(_table(spark, sf, "part"), F.col("p_partkey"), DataType.LINESTRING, F.array(_corner(x, y), _corner(x + r, y + rise * r)))
 
 
 def supplier_windows(spark, sf) -> DataFrame:
@@ -102,9 +110,10 @@ _SETS = {
     "pc": "SELECT c_custkey AS id, c_custkey::DOUBLE AS x, floor(c_acctbal)::DOUBLE AS y FROM customer",
     "ps": "SELECT s_suppkey AS id, (s_suppkey * 10)::DOUBLE AS x, floor(s_acctbal)::DOUBLE AS y FROM supplier",
     "pe": "SELECT event_id AS id, user_id::DOUBLE AS x, floor(value)::DOUBLE AS y FROM events",
-    "bl": "SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_partkey::DOUBLE AS x0, l_suppkey::DOUBLE AS y0, l_partkey + l_quantity::DOUBLE AS x1, (l_suppkey + l_linenumber)::DOUBLE AS y1 FROM lineitem WHERE l_linenumber = 1",
+    "bl": "SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_partkey::DOUBLE AS x0, l_suppkey::DOUBLE AS y0, l_partkey + l_quantity::DOUBLE AS x1, (l_suppkey + l_linenumber)::DOUBLE AS y1 FROM lineitem",
     "bp": "SELECT p_partkey AS id, p_partkey::DOUBLE AS x0, floor(p_retailprice)::DOUBLE AS y0, (p_partkey + p_size)::DOUBLE AS x1, floor(p_retailprice)::DOUBLE + p_size AS y1 FROM part",
     "dp": "SELECT p_partkey AS id, p_partkey::DOUBLE AS x, floor(p_retailprice)::DOUBLE AS y, p_size::DOUBLE AS r FROM part",
+    "sp": "SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_partkey AS x0, l_partkey + l_quantity AS x1, floor(l_extendedprice / l_quantity)::DOUBLE AS y FROM lineitem",
     "w": "SELECT s_suppkey::INTEGER AS qid, (s_suppkey * 10)::DOUBLE AS x, floor(s_acctbal)::DOUBLE AS y FROM supplier",
 }
 
@@ -164,7 +173,7 @@ def range_box_areas(spark, sf):
     return selection.range_batch(box_lineitem(spark, sf), line_windows(spark, sf))
 
 
-@query("SELECT w.qid, b.id AS rec_id FROM (SELECT s_suppkey::INTEGER AS qid, s_suppkey AS s FROM supplier) w JOIN (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_partkey AS x0, l_partkey + l_quantity AS x1, l_suppkey AS y FROM lineitem WHERE l_linenumber = 1) b ON x0 <= s * 20 + 30 AND x1 >= s * 20 AND y BETWEEN s AND s + 3")
+@query("SELECT w.qid, b.id AS rec_id FROM (SELECT s_suppkey::INTEGER AS qid, s_suppkey AS s FROM supplier) w JOIN (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_partkey AS x0, l_partkey + l_quantity AS x1, l_suppkey AS y FROM lineitem) b ON x0 <= s * 20 + 30 AND x1 >= s * 20 AND y BETWEEN s AND s + 3")
 def range_linestrings(spark, sf):
     return selection.range_batch(seg_lineitem(spark, sf), line_windows(spark, sf))
 
@@ -216,7 +225,12 @@ def _box_join(name: str, key: str):
 
 for _name in ("intersect", "inside", "contains", "covers", "covered_by", "equal", "meet"):
     _box_join(_name, f"box_{_name}_join")
-_box_join("disjoint", "box_disjoint_candidates")
+
+
+@query(_with(f"SELECT count(*) AS n FROM bp r JOIN bp s ON NOT ({_OV})", "bp"))
+def box_disjoint_count(spark, sf):
+    """Pairs without a point in common, of all pairs: counted, as they are nearly all."""
+    return joins.disjoint_count(box_part(spark, sf), box_part(spark, sf))
 
 
 @query(_with(f"SELECT k.relation::INTEGER AS relation, count(t.relation) AS n FROM range(8) k(relation) LEFT JOIN (SELECT {_CASE} AS relation FROM bl r JOIN bp s ON {_OV}) t ON t.relation = k.relation GROUP BY k.relation", "bl", "bp"))
@@ -257,9 +271,78 @@ def diamond_find_relation_collect(spark, sf):
     return joins.find_relation(diamond_part(spark, sf), diamond_part(spark, sf))
 
 
-@query(_with("SELECT r.id AS id_r, s.id AS id_s FROM (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_partkey AS x0, l_partkey + l_quantity AS x1, l_suppkey AS y FROM lineitem WHERE l_linenumber = 1) r JOIN bp s ON r.x0 <= s.x1 AND s.x0 <= r.x1 AND r.y BETWEEN s.y0 AND s.y1", "bp"))
+@query(_with("SELECT r.id AS id_r, s.id AS id_s FROM sp r JOIN bp s ON r.x0 <= s.x1 AND s.x0 <= r.x1 AND r.y BETWEEN s.y0 AND s.y1", "sp", "bp"))
 def segment_box_intersect_join(spark, sf):
-    return joins.predicate_join(seg_lineitem(spark, sf), box_part(spark, sf), "intersect")
+    return joins.predicate_join(seg_prices(spark, sf), box_part(spark, sf), "intersect")
+
+
+# A rising line is (x + t, y + t), t from 0 to r; it lies in a box for the t in which both coordinates do.
+_RISING = "greatest(s.x0 - r.x, s.y0 - r.y, 0) <= least(s.x1 - r.x, s.y1 - r.y, r.r)"
+_LINE_BOX = "r.x <= s.x1 AND s.x0 <= r.x + r.r AND r.y <= s.y1 AND s.y0 <= r.y + r.r"
+
+
+def _line_box(name: str):
+    def run(spark, sf):
+        return joins.predicate_join(line_part(spark, sf), box_part(spark, sf), name)
+
+    run.__name__ = f"line_box_{name}_join"
+    test = _RISING if name == "intersect" else f"NOT ({_RISING})"
+    query(_with(f"SELECT r.id AS id_r, s.id AS id_s FROM dp r JOIN bp s ON {_LINE_BOX} AND {test}", "dp", "bp"))(run)
+
+
+_line_box("intersect")
+_line_box("disjoint")
+
+# In u = x + y, v = x - y a rising line has one v and u from x + y to x + y + 2 r; a falling one has one u, and v from x - y to x - y + 2 r.
+
+
+@query(_with("SELECT r.id AS id_r, s.id AS id_s FROM dp r JOIN dp s ON s.x + s.y BETWEEN r.x + r.y AND r.x + r.y + 2 * r.r AND r.x - r.y BETWEEN s.x - s.y AND s.x - s.y + 2 * s.r", "dp"))
+def line_line_intersect_join(spark, sf):
+    return joins.predicate_join(line_part(spark, sf), line_part(spark, sf, -1), "intersect")
+
+
+def _line_diamond(name: str, test: str):
+    def run(spark, sf):
+        return joins.predicate_join(line_part(spark, sf), diamond_part(spark, sf), name)
+
+    run.__name__ = f"line_polygon_{name}_join"
+    query(_with(f"SELECT r.id AS id_r, s.id AS id_s FROM dp r JOIN {_D} s ON {test}", "dp"))(run)
+
+
+_line_diamond("intersect", "r.x + r.y <= s.x1 AND s.x0 <= r.x + r.y + 2 * r.r AND r.x - r.y BETWEEN s.y0 AND s.y1")
+_line_diamond("inside", "r.x + r.y >= s.x0 AND r.x + r.y + 2 * r.r <= s.x1 AND r.x - r.y > s.y0 AND r.x - r.y < s.y1")
+
+_DIAMOND_BOX = "greatest(s.x0 - r.x, 0, r.x - s.x1) + greatest(s.y0 - r.y, 0, r.y - s.y1) <= r.r"
+
+
+@query(_with(f"SELECT r.id AS id_r, s.id AS id_s FROM dp r JOIN bp s ON {_DIAMOND_BOX}", "dp", "bp"))
+def polygon_box_intersect_join(spark, sf):
+    return joins.predicate_join(diamond_part(spark, sf), box_part(spark, sf), "intersect")
+
+
+@query(_with("SELECT w.qid, s.id AS rec_id FROM w JOIN bp s ON greatest(s.x0 - w.x, 0, w.x - s.x1) + greatest(s.y0 - w.y, 0, w.y - s.y1) <= 400", "w", "bp"))
+def range_polygon_areas(spark, sf):
+    return selection.range_batch(box_part(spark, sf), supplier_diamonds(spark, sf))
+
+
+@query(_with("SELECT w.qid, s.id AS rec_id FROM w JOIN dp s ON greatest(abs(s.x + s.y - w.x - w.y), abs(s.x - s.y - w.x + w.y)) <= 400 + s.r", "w", "dp"))
+def range_polygon_polygons(spark, sf):
+    return selection.range_batch(diamond_part(spark, sf), supplier_diamonds(spark, sf))
+
+
+_AWAY = "sqrt(greatest(s.x0 - r.x, 0, r.x - s.x1) * greatest(s.x0 - r.x, 0, r.x - s.x1) + greatest({0}) * greatest({0}))"
+
+
+def _distance(key: str, right: str, shapes, dy: str):
+    def run(spark, sf):
+        return joins.shape_distances(pts_customer(spark, sf), shapes(spark, sf), 15)
+
+    run.__name__ = key
+    query(_with(f"SELECT r.id AS id_r, s.id AS id_s, {_AWAY.format(dy)} AS dist FROM pc r JOIN {right} s ON r.x BETWEEN s.x0 - 15 AND s.x1 + 15 AND {_AWAY.format(dy)} <= 15", "pc", right))(run)
+
+
+_distance("point_box_distances", "bp", box_part, "s.y0 - r.y, 0, r.y - s.y1")
+_distance("point_line_distances", "sp", seg_prices, "s.y - r.y, r.y - s.y")
 
 
 def _point_diamond(name: str, key: str, swapped: bool):
@@ -325,6 +408,22 @@ def april_filter_equivalence(spark, sf):
     return joins.predicate_join(d, d, "intersect", april_order=10).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _by_intervals(name: str):
+    """The joins of diamonds by the exact kernel alone and with intervals before it give the same pairs."""
+
+    def run(spark, sf):
+        d = diamond_part(spark, sf)
+        return joins.relation_counts(joins.find_relation(d, d, april_order=10)) if name == "find_relation_count" else joins.predicate_join(d, d, name, april_order=10)
+
+    key = name if name == "find_relation_count" else f"{name}_join"
+    run.__name__ = f"april_{key}"
+    query(ORACLES[f"diamond_{key}"])(run)
+
+
+for _name in ("inside", "contains", "covers", "covered_by", "equal", "meet", "disjoint", "find_relation_count"):
+    _by_intervals(_name)
+
+
 @query()
 def april_intervals(spark, sf):
     d = diamond_part(spark, sf)
@@ -343,37 +442,3 @@ SELECT id AS rec_id, d FROM h WHERE s = 0""")
 def hilbert_encode(spark, sf):
     p = pts_customer(spark, sf).df
     return p.select("rec_id", hilbert_column(10, F.col("xmin").cast("long") % 1024, F.pmod(F.col("ymin").cast("long"), F.lit(1024))).alias("d"))
-
-
-# ---------------------------------------------------------------- whole line items
-
-# The queries above that read line items take an order's first one, and so does their SQL. These take every row.
-
-
-def _every(name: str):
-    return query(ORACLES[name].replace(" WHERE l_linenumber = 1", ""))
-
-
-@_every("range_box_areas")
-def range_box_areas_all(spark, sf):
-    return selection.range_batch(box_lineitem(spark, sf, first_only=False), line_windows(spark, sf))
-
-
-@_every("range_linestrings")
-def range_linestrings_all(spark, sf):
-    return selection.range_batch(seg_lineitem(spark, sf, first_only=False), line_windows(spark, sf))
-
-
-@_every("box_find_relation_count")
-def box_find_relation_count_all(spark, sf):
-    return joins.relation_counts(joins.find_relation(box_lineitem(spark, sf, first_only=False), box_part(spark, sf)))
-
-
-@_every("segment_box_intersect_join")
-def segment_box_intersect_join_all(spark, sf):
-    return joins.predicate_join(seg_lineitem(spark, sf, first_only=False), box_part(spark, sf), "intersect")
-
-
-@_every("dataset_bounds")
-def dataset_bounds_all(spark, sf):
-    return source.dataset_bounds(box_lineitem(spark, sf, first_only=False))

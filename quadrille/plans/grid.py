@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ MAX_CELLS_PER_DIM = 4096
 class Grid:
     bounds: Bounds
     n: int
+    #: Rows of the sets that it was made for, as far as they were counted.
+    rows: int = field(default=0, compare=False)
 
     def __post_init__(self):
         if self.n < 1:
@@ -49,9 +51,12 @@ def layer_class() -> Column:
 
 
 def grid_for(*sets: Geometries, n: int | None = None, bounds: Bounds | None = None) -> Grid:
-    """A grid over the union of the sets' bounds. Without n: about ROWS_A_CELL rows a cell, cells not under twice the mean side."""
+    """A grid over the union of the sets' bounds. Without n: about ROWS_A_CELL rows a cell, cells not under twice the mean side.
+
+    Bounds that are given are used as they are; with n, nothing is read then.
+    """
     known = [s.bounds for s in sets]
-    if bounds is None and all(known) and n:
+    if bounds is None and all(known):
         bounds = known[0]
         for b in known[1:]:
             bounds = bounds.union(b)
@@ -71,4 +76,4 @@ def grid_for(*sets: Geometries, n: int | None = None, bounds: Bounds | None = No
         side = (max(r["n"] for r in rows) / ROWS_A_CELL) ** 0.5
         wide = [(bounds.xmax - bounds.xmin) / (2 * r["w"]) for r in rows if r["w"]] + [(bounds.ymax - bounds.ymin) / (2 * r["h"]) for r in rows if r["h"]]
         n = int(max(1, min(MAX_CELLS_PER_DIM, side, *wide)))
-    return Grid(bounds, n)
+    return Grid(bounds, n, sum(r["n"] for r in rows))

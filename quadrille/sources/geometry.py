@@ -20,14 +20,20 @@ BOX = ("xmin", "ymin", "xmax", "ymax")
 
 @dataclass(frozen=True)
 class Geometries:
-    """A frame with the one type that its rows have, and its bounds where they are known."""
+    """A frame with the one type that its rows have, and what is known of it.
+
+    bounds hold all rows; april: order and bounds of the raster intervals in its column april; cells: the rows by cell of grid.
+    """
 
     df: DataFrame
     kind: DataType
     bounds: Bounds | None = None
+    april: tuple[int, Bounds] | None = None
+    cells: DataFrame | None = None
+    grid: object = None
 
     def where(self, condition) -> Geometries:
-        return replace(self, df=self.df.where(condition), bounds=None)
+        return replace(self, df=self.df.where(condition), bounds=None, cells=None, grid=None)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -111,11 +117,21 @@ def read_knn_queries(spark: SparkSession, path: str, k: int, file_type="WKT") ->
 
 
 def save(geometries: Geometries, path: str, mode: str = "error") -> None:
-    geometries.df.write.mode(mode).parquet(path)
+    """Rows as Parquet; raster intervals go with them, and with their order and bounds."""
+    df = geometries.df.drop("april_frame")
+    if geometries.april:
+        order, b = geometries.april
+        df = df.withColumn("april_frame", F.struct(F.lit(order).alias("order"), *[F.lit(float(getattr(b, c))).alias(c) for c in BOX]))
+    df.write.mode(mode).parquet(path)
 
 
 def load(spark: SparkSession, path: str, kind) -> Geometries:
-    return Geometries(spark.read.parquet(path), member(DataType, kind))
+    df = spark.read.parquet(path)
+    if "april_frame" not in df.columns:
+        return Geometries(df, member(DataType, kind))
+    frame = df.select("april_frame.*").head()  # the same in every row
+    april = (frame["order"], Bounds(*[frame[c] for c in BOX])) if frame else None
+    return Geometries(df.drop("april_frame"), member(DataType, kind), april=april)
 
 
 def dataset_bounds(geometries: Geometries) -> DataFrame:

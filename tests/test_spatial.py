@@ -164,8 +164,8 @@ def test_whole_line_items_agree_with_sql(spark, name):
 
     from quadrille.plans.catalogue import ORACLES, QUERIES
 
-    sf, key = "/root/testdata/sf0.001", f"{name}_all"
-    assert "l_linenumber = 1" not in ORACLES[key]
+    sf, key = "/root/testdata/sf0.001", name
+    assert "WHERE" not in ORACLES[key].replace("WHERE t.", "")
     con = duckdb.connect()
     for t in ("lineitem", "part", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
@@ -179,3 +179,139 @@ def test_csv_keeps_every_vertex(spark, tmp_path):
     (tmp_path / "long.csv").write_text("1\n0," + ",".join(f"{k % 7} 1" for k in range(n)) + "\n")
     read = source.read_csv(spark, str(tmp_path / "long.csv"), "LINESTRING", validate=False)
     assert [r[0] for r in read.df.select(F.size("pts")).collect()] == [n]
+
+
+def test_raster_intervals_by_brute_force():
+    """Against each cell of a small raster: every touched cell is in all, with those of an outline's rounding at most; full cells lie inside."""
+    import numpy as np
+
+    from quadrille.functions import kernels as k
+    from quadrille.operators.april import hilbert, raster
+    from quadrille.types import Bounds
+
+    order, bounds, rng = 4, Bounds(0, 0, 15, 15), random.Random(6)  # a cell is one by one
+    for _ in range(60):
+        kind = rng.choice(["POLYGON", "POLYGON", "LINESTRING"])
+        x, y, r = rng.randint(4, 10), rng.randint(4, 10), rng.randint(1, 4)
+        corners = rng.choice([[(-r, 0), (0, r), (r, 0), (0, -r)], [(-r, -r), (-r, r), (r, r), (r, -r)], [(-r, 0), (r, 1), (0, r)]])
+        pts = [(x + a + 0.25, y + b + 0.5) for a, b in corners]
+        flat = np.array([v for p in (pts + [pts[0]] if kind == "POLYGON" else pts[:3]) for v in p])
+        every, full = ({d for run in runs for d in range(run["s"], run["e"])} for runs in raster(kind, flat, bounds, order))
+        touched, inside = set(), set()
+        for i in range(16):
+            for j in range(16):
+                cell = [i, j, i, j + 1, i + 1, j + 1, i + 1, j, i, j]
+                a, b = k.shapes(kind, flat, "POLYGON", cell)
+                if k.intersects(a, b):
+                    touched.add(int(hilbert(order, [i], [j])[0]))
+                    if kind == "POLYGON" and k.matches(k.relate(a, b), "contains"):
+                        inside.add(int(hilbert(order, [i], [j])[0]))
+        assert touched == every and full <= inside and (kind == "POLYGON" or not full)
+
+
+@pytest.mark.parametrize("name", ["intersect", "inside", "disjoint", "equal", "meet", "contains", "covers", "covered_by"])
+def test_boxes_without_width_or_height(spark, name):
+    """Closed forms on boxes that are lines or points, against the exact kernel on the lines and points that they are."""
+    from quadrille.functions import kernels as k
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        x, y = rng.randint(0, 4), rng.randint(0, 4)
+        rows.append((i, x, y, x + rng.choice([0, 0, 1, 2]), y + rng.choice([0, 0, 1, 2])))
+    boxes = source.from_boxes(spark.createDataFrame(rows, "i long, a long, b long, c long, d long"), *[F.col(c) for c in "iabcd"])
+
+    def shape(_, a, b, c, d):
+        if a == c and b == d:
+            return "POINT", [a, b]
+        return ("LINESTRING", [a, b, c, d]) if a == c or b == d else ("POLYGON", [a, b, a, d, c, d, c, b, a, b])
+
+    def holds(r, s):
+        near = r[1] <= s[3] and s[1] <= r[3] and r[2] <= s[4] and s[2] <= r[4]
+        return near and k.predicate(name, *k.shapes(*shape(*r), *shape(*s)))
+
+    got = {tuple(r) for r in joins.predicate_join(boxes, boxes, name).collect()}
+    assert got == {(r[0], s[0]) for r in rows for s in rows if holds(r, s)}
+
+
+def test_distances_of_shapes(spark):
+    from quadrille.functions.kernels import shape_distance
+
+    assert shape_distance("POLYGON", SQUARE, "POINT", [7, 8]) == 5 and shape_distance("POLYGON", SQUARE, "POLYGON", moved(SQUARE, 1, 1, 0.5)) == 0
+    assert shape_distance("LINESTRING", [0, 0, 4, 4], "POINT", [0, 4]) == pytest.approx(8**0.5)
+    rng = random.Random(2)
+    rows = [(i, float(rng.randrange(40)), float(rng.randrange(40)), float(rng.randrange(1, 4))) for i in range(50)]
+    t = spark.createDataFrame(rows, "i long, x double, y double, d double")
+    corner = lambda dx, dy: F.struct((F.col("x") + dx * F.col("d")).alias("x"), (F.col("y") + dy * F.col("d")).alias("y"))
+    g = source.from_vertices(t, F.col("i"), "POLYGON", F.array(*[corner(*c) for c in ((-1, 0), (0, 1), (1, 0), (0, -1))]))
+    flat = {i: [x - d, y, x, y + d, x + d, y, x, y - d, x - d, y] for i, x, y, d in rows}
+    got = {(r.id_r, r.id_s): r.dist for r in joins.shape_distances(g, g, 3).collect()}
+    expected = {(a, b): v for a in flat for b in flat if (v := shape_distance("POLYGON", flat[a], "POLYGON", flat[b])) <= 3}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(v) for k, v in expected.items())
+
+
+def test_csv_lines_and_text_of_lines(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("3\n7,0 0,2 2.5\n8,1 1,1 1\n9,5 5,6 5,6 7\n")
+    (tmp_path / "l.wkt").write_text("LINESTRING (0 0, 2 2.5)\tfirst\nLINESTRING(5 5,6 5,6 7)\nLINESTRING (1 1,1 1)\nPOINT (1 1)\n")
+    csv, wkt = source.read_csv(spark, str(tmp_path / "l.csv"), "LINESTRING"), source.read_wkt(spark, str(tmp_path / "l.wkt"), "LINESTRING")
+    points = lambda x: {r.rec_id: [tuple(p) for p in r.pts] for r in x.df.collect()}
+    assert points(csv) == {0: [(0, 0), (2, 2.5)], 2: [(5, 5), (6, 5), (6, 7)]} and points(wkt) == {0: [(0, 0), (2, 2.5)], 1: [(5, 5), (6, 5), (6, 7)]}
+    e = SpatialEngine(spark)
+    a, b = e.prepare_dataset(str(tmp_path / "l.csv"), "CSV", "LINESTRING"), e.prepare_dataset(str(tmp_path / "l.wkt"), "WKT", "LINESTRING")
+    assert sorted(map(tuple, e.query(PredicateJoinQuery(1, "COLLECT", a, b, QueryType.EQUAL)).collect())) == [(0, 0), (2, 1)]
+
+
+def test_windows_that_are_none_are_told_from_empty_ones(engine, spark):
+    w = spark.createDataFrame([(1, "BOX(0 0,4 4)"), (2, "BOX(90 90,91 91)"), (3, "BOX(1)"), (4, None)], "qid int, wkt string")
+    assert sorted(map(tuple, engine.query_batch(w, QueryType.RANGE, 2).collect())) == [(1, 2), (2, 0), (3, None), (4, None)]
+
+
+def test_given_bounds_are_used_without_a_scan(spark):
+    from quadrille.plans.grid import grid_for
+    from quadrille.types import Bounds, DataType
+
+    class Unread:
+        def __getattr__(self, name):
+            raise AssertionError("read")
+
+    grid = grid_for(source.Geometries(Unread(), DataType.BOX, Bounds(0, 0, 4, 4)), source.Geometries(Unread(), DataType.BOX, Bounds(2, 2, 9, 8)), n=3)
+    assert (grid.bounds, grid.n) == (Bounds(0, 0, 9, 8), 3)
+
+
+def test_neighbours_through_finer_and_finer_counts(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.gauss(0, 5), rng.gauss(0, 5)) for i in range(3000)] + [(3000 + i, 50.0, 50.0) for i in range(20)]
+    data = source.from_points(spark.createDataFrame(rows, "i long, x double, y double"), *[F.col(c) for c in "ixy"])
+    queries = [(q, rng.uniform(-20, 60), rng.uniform(-20, 60), rng.choice([1, 3, 30])) for q in range(40)] + [(40, 0.0, 0.0, 4000)]
+    q = spark.createDataFrame(queries, "qid int, x double, y double, k int")
+    for n in (None, 8, 64):
+        got = {}
+        for r in selection.knn_batch(data, q, n=n).collect():
+            got.setdefault(r.qid, {})[r["rank"]] = r.rec_id
+        for qid, x, y, k in queries:
+            best = sorted(rows, key=lambda p: (((p[1] - x) ** 2 + (p[2] - y) ** 2) ** 0.5, p[0]))[:k]
+            assert [got[qid][j + 1] for j in range(len(best))] == [p[0] for p in best]
+
+
+def test_streams_take_a_bounded_number_of_windows(spark, monkeypatch):
+    from quadrille.streaming import selection as streamed
+
+    monkeypatch.setattr(streamed, "MOST_STREAM_WINDOWS", 1)
+    points = streamed.stream_points(spark.createDataFrame([(1, 1.0, 1.0)], "i long, x double, y double"), "i", "x", "y")
+    with pytest.raises(InvalidParameter):
+        streamed.stream_range(points, spark.createDataFrame([(1, "BOX(0 0,1 1)"), (2, "BOX(0 0,1 1)")], "qid int, wkt string"))
+
+
+@pytest.mark.parametrize("name", ["intersect", "inside", "disjoint", "equal", "meet", "contains", "covers", "covered_by"])
+def test_intervals_change_no_answer(spark, name):
+    rng = random.Random(3)
+    rows = [(i, float(rng.randrange(30)), float(rng.randrange(30)), float(rng.choice([1, 2, 5, 9]))) for i in range(70)]
+    t = spark.createDataFrame(rows, "i long, x double, y double, d double")
+    corner = lambda dx, dy: F.struct((F.col("x") + dx * F.col("d")).alias("x"), (F.col("y") + dy * F.col("d")).alias("y"))
+    g = source.from_vertices(t, F.col("i"), "POLYGON", F.array(*[corner(*c) for c in ((-1, 0), (0, 1), (1, 0), (0, -1))]))
+    plain, quick = (sorted(map(tuple, joins.predicate_join(g, g, name, april_order=o).collect())) for o in (None, 9))
+    assert plain == quick and plain
+    if name == "intersect":
+        plain, quick = (sorted(map(tuple, joins.find_relation(g, g, april_order=o).collect())) for o in (None, 9))
+        assert plain == quick
+        assert joins.disjoint_count(g, g).collect()[0].n == 70 * 70 - joins.predicate_join(g, g, "intersect").count()
