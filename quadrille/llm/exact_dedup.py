@@ -27,9 +27,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
                 max_winners: int = MAX_WINNERS, tracked: int = TRACKED) -> DataFrame:
     """Adds keep_id, group_size, kept and text_sha256 to each row of df; no row is lost.
 
-    Null texts count as empty. Null ids sort last: keep_id is null only if the group has no other id. Of rows that
+    Null texts count as empty; texts of any length are read whole. Null ids sort last: keep_id is null only if the group has no other id. Of rows that
     repeat the smallest id of a group, one is kept. digest_col: a column that holds the digest already. Columns of df
-    named like the added ones are replaced. An empty table gives an empty result.
+    named like the added ones are replaced, other names never clash. An empty table gives an empty result.
     """
     out = ["keep_id", "group_size", "kept", "text_sha256"]
     base = df.drop(*[c for c in out if c != digest_col and c not in (id_col, text_col)])

@@ -178,12 +178,14 @@ def _restored(langs, prior, keys, probs, pieces) -> Model:
 
 
 def train_model(train: DataFrame, path: str, train_docs: int = TRAIN_DOCS) -> Model:
-    """train: key, lang, text with lang known. A language has about train_docs documents at most (its hash share)."""
+    """train: key, lang, text with lang and text known. A language has about train_docs documents at most (its hash share).
+
+    No rows give a model without languages. Rows that repeat a key are all taken or none.
+    """
     by_lang = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     pieces, langs = vocabulary_pieces(path), sorted(by_lang)
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, min(1.0, train_docs / by_lang[lang])).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, train_docs / by_lang[lang]))]) if langs else None
+    share = F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0.0)) if langs else F.lit(0.0)
     u = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
     counts = np.zeros((len(pieces), len(langs)))
     number = {lang: i for i, lang in enumerate(langs)}
@@ -194,9 +196,11 @@ def train_model(train: DataFrame, path: str, train_docs: int = TRAIN_DOCS) -> Mo
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for each row, from its text alone; `und` and 0 for texts without a letter.
+    """doc_id, lang_pred, score for each row, from its text alone; `und` and 0 for null, empty and other texts without a letter.
 
-    Repeated rows give repeated rows; null ids stay null; other columns are not read.
+    Texts of any length are read whole. Repeated rows give repeated rows; null ids stay null; other columns are not read, so
+    their names do not matter. Ties go to the language that comes first. A model without languages finds `und` everywhere.
+    No rows in, none out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary times languages
 

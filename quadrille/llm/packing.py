@@ -229,8 +229,8 @@ def best_fit_pack(docs: DataFrame, vocabulary: str | None = None, id_col: str =
                   capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each row of docs.
 
-    A null or empty text is the end id alone. Repeated rows and ids are packed row by row. Other columns are not read.
-    A null id stays null. No rows in, none out. Documents longer than capacity are cut; nothing else is.
+    A null or empty text is the end id alone. Repeated rows and ids are packed row by row. Other columns are not read,
+    so their names do not matter. A null id stays null. No rows in, none out. Documents longer than capacity are cut; nothing else is.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     pieces = staged(pieces_of(docs, vocabulary or public_path(VOCABULARY), id_col, text_col, capacity), "pieces")

@@ -253,8 +253,8 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, id_col: str
     """Writes a record for each row, normalises the archives and reads them back, a row for each row of pages.
 
     Null payloads are empty; null ids are written as such and are response, unless a page with an id has the same payload.
-    Rows that repeat the smallest id of a payload are all response. Other columns are not read. An empty table writes
-    nothing.
+    Rows that repeat the smallest id of a payload are all response. Other columns are not read, so their names
+    do not matter. Payloads of any length are one record. An empty table writes nothing.
     """
     folder = folder or new_dir(pages.sparkSession, "warc")
     manifest = write_archives(page_records(pages, id_col, url_col, payload_col), folder)
