@@ -66,7 +66,8 @@ def diamond_part(spark, sf, shift=0):
     return source.from_vertices(_table(spark, sf, "part"), F.col("p_partkey"), DataType.POLYGON, pts)
 
 
-def seg_lineitem(spark, sf, y=F.col("l_suppkey")):
+def seg_lineitem(spark, sf, y=None):
+    y = F.col("l_suppkey") if y is None else y
     ends = F.array(_corner(F.col("l_partkey"), y), _corner(F.col("l_partkey") + F.col("l_quantity"), y))
     return source.from_vertices(_table(spark, sf, "lineitem"), _line_id(), DataType.LINESTRING, ends)
 

@@ -9,7 +9,7 @@ from quadrille.engine import SpatialEngine
 from quadrille.functions.kernels import is_valid, relate, shapes
 from quadrille.operators import joins, selection
 from quadrille.sources import geometry as source
-from quadrille.types import DistanceJoinQuery, InvalidGeometry, InvalidParameter, KNNQuery, PredicateJoinQuery, QueryType, RangeQuery, ResultType, query_type
+from quadrille.types import DistanceJoinQuery, InvalidGeometry, InvalidParameter, KNNQuery, PredicateJoinQuery, QueryType, RangeQuery, ResultType, UnknownDataset, query_type
 
 SQUARE = [0, 0, 0, 4, 4, 4, 4, 0, 0, 0]
 
@@ -315,3 +315,18 @@ def test_intervals_change_no_answer(spark, name):
         plain, quick = (sorted(map(tuple, joins.find_relation(g, g, april_order=o).collect())) for o in (None, 9))
         assert plain == quick
         assert joins.disjoint_count(g, g).collect()[0].n == 70 * 70 - joins.predicate_join(g, g, "intersect").count()
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120).returncode == 0
+
+
+def test_time_and_unknown_datasets(spark):
+    e = SpatialEngine(spark)
+    assert 0 <= e.time() <= e.time()
+    with pytest.raises(UnknownDataset):
+        e.query(PredicateJoinQuery(1, "COUNT", 0, 1, QueryType.MEET))
