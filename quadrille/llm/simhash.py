@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import col, new_dir, remove_dir, staged, table
 
 RADIUS = 4
+MAX_RADIUS = 8
 SHINGLE = 4
 SEED = 42
 CHUNK = 4096
@@ -308,12 +309,12 @@ def components(links: DataFrame, label: str = "star") -> DataFrame:
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of df.
 
-    radius: from 0 to 16; the keys grow fast with it, so that what is wanted beyond a few bits is near_copies() with its exact
+    radius: from 0 to 8 bits; the choices of blocks grow fast with it, and what is wanted beyond is near_copies() with its exact
     check. Texts of any length are read whole. Texts without words (null ones too) have fingerprint zero and are linked like others. Rows with a null id are linked to
     none; they get the component of their fingerprint, null if no row with an id has it. Repeated rows give repeated
     rows. Other columns are not read. An empty table gives an empty result.
     """
-    if not 0 <= radius <= 16:
+    if not 0 <= radius <= MAX_RADIUS:
         raise ValueError(f"a radius of {radius} bits")
     marks = staged(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     nodes = staged(marks.groupBy("fp").agg(F.min("id").alias("rep")).where(F.col("rep").isNotNull()), "nodes")

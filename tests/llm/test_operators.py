@@ -220,6 +220,8 @@ def test_simhash(docs, none, rows):
     parts = brute_components(rows, fps)
     assert all(r.component_id == parts[r.doc_id] for r in got if r.doc_id is not None) and len(got) == len(rows)
     assert simhash.simhash_dedup(none).collect() == []
+    with pytest.raises(ValueError):
+        simhash.simhash_dedup(docs, radius=9)
 
 
 @pytest.mark.parametrize("chunk", [8, 4096])
