@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import geometry as g
 from quadrille.functions.kernels import distance_column, matrix_column, predicate_column, relation_from_matrix
 from quadrille.operators.april import predicate_verdict, relation_verdict, with_intervals
-from quadrille.plans.grid import Grid, grid_for
+from quadrille.plans.grid import Grid, grid_for, meets_once
 from quadrille.sources.geometry import BOX, Geometries
 from quadrille.types import DataType, InvalidParameter, PREDICATES, Relation, UnsupportedFeature, query_type
 
@@ -36,12 +36,12 @@ def _side(x: Geometries, grid: Grid, suffix: str, shape: bool, margin: float = 0
         df = x.cells
     else:
         df = grid.exploded(x.df.select(*columns), margin)
-    return df.select("cell", "ix", "iy", *[F.col(c).alias(f"{c}_{suffix}") for c in (*columns, "ix0", "iy0")])
+    return df.select("cell", "ix", "iy", "level", *[F.col(c).alias(f"{c}_{suffix}") for c in (*columns, "ix0", "iy0", "own")])
 
 
 def _grid(r: Geometries, s: Geometries, n: int | None) -> Grid:
     """The grid on which both are held already, else one for their bounds and sizes."""
-    if r.grid is not None and r.grid == s.grid and n in (None, r.grid.n):
+    if r.grid is not None and r.grid == s.grid and (n is None or n == r.grid.n == r.grid.ny):
         return r.grid
     return grid_for(r, s, n=n)
 
@@ -56,11 +56,10 @@ def mbr_pairs(r: Geometries, s: Geometries, n: int | None = None, grid: Grid | N
     margin: r's boxes are widened by it.
     """
     grid = grid or _grid(r, s, n)
-    a, b = _side(r, grid, "r", shape, margin), _side(s, grid, "s", shape).drop("ix", "iy")
+    a, b = _side(r, grid, "r", shape, margin), _side(s, grid, "s", shape).drop("ix", "iy", "level")
     br, bs = _boxes()
     wide = {c: br[c] - margin if c.endswith("min") else br[c] + margin for c in BOX} if margin else br
-    once = (F.col("ix") == F.greatest("ix0_r", "ix0_s")) & (F.col("iy") == F.greatest("iy0_r", "iy0_s"))
-    pairs = a.join(b, "cell").where(g.overlap(wide, bs) & once)
+    pairs = a.join(b, "cell").where(g.overlap(wide, bs) & meets_once("_r", "_s"))
     return pairs.where(prefilter(br, bs)) if prefilter else pairs
 
 
@@ -178,8 +177,9 @@ def distance_join(r: Geometries, s: Geometries, d: float, n: int | None = None)
         raise UnsupportedFeature("distance joins are of points; shape_distances() takes others")
     grid = grid_for(r, s, n=n)
     b = grid.bounds
-    most = int(max(1, min(b.xmax - b.xmin, b.ymax - b.ymin) / d)) if n is None else grid.n
-    grid = Grid(b, max(1, min(grid.n, most)))
+    grid = Grid(b, grid.n, grid.ny)
+    if n is None:  # cells not under d
+        grid = Grid(b, max(1, min(grid.n, int((b.xmax - b.xmin) / d))), max(1, min(grid.ny, int((b.ymax - b.ymin) / d))))
     a = grid.exploded(r.df.select("rec_id", *BOX), d).select("cell", F.col("rec_id").alias("id_r"), F.col("xmin").alias("xr"), F.col("ymin").alias("yr"))
     c = s.df.select(grid.cell(grid.index(F.col("xmin"), "x"), grid.index(F.col("ymin"), "y")).alias("cell"), F.col("rec_id").alias("id_s"), F.col("xmin").alias("xs"), F.col("ymin").alias("ys"))
     dx, dy = F.col("xr") - F.col("xs"), F.col("yr") - F.col("ys")

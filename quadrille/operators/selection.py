@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as g
 from quadrille.functions.kernels import predicate_column
-from quadrille.plans.grid import ROWS_A_CELL, Grid, grid_for
+from quadrille.plans.grid import ROWS_A_CELL, Grid, grid_for, meets_once
 from quadrille.sources.geometry import BOX, Geometries
 from quadrille.types import Bounds, DataType, InvalidGeometry, InvalidParameter
 
@@ -49,11 +49,11 @@ def range_batch(data: Geometries, queries: DataFrame, n: int | None = None) -> D
     if few:
         pairs, tasks = rows.join(F.broadcast(w), g.overlap(own, box)), 0
     else:
-        grid = grid_for(data, n=n)
+        dealt = w.select(*w.columns, *[F.col(f"w_{c}").alias(c) for c in BOX])
+        grid = grid_for(data, n=n, windows=dealt)
         a = grid.exploded(rows)
-        b = grid.exploded(w.select(*w.columns, *[F.col(f"w_{c}").alias(c) for c in BOX])).select("cell", *w.columns, F.col("ix0").alias("wx0"), F.col("iy0").alias("wy0"))
-        once = (F.col("ix") == F.greatest("ix0", "wx0")) & (F.col("iy") == F.greatest("iy0", "wy0"))
-        pairs, tasks = a.join(b, "cell").where(g.overlap(own, box) & once), grid.rows // ROWS_A_TASK
+        b = grid.exploded(dealt).select("cell", *w.columns, *[F.col(c).alias(f"{c}_w") for c in ("ix0", "iy0", "own")])
+        pairs, tasks = a.join(b, "cell").where(g.overlap(own, box) & meets_once("", "_w")), grid.rows // ROWS_A_TASK
     boxes = F.col("wtype") == "BOX"
     if data.kind == DataType.POINT:
         pairs = pairs.where(boxes | g.point_meets_ring(F.col("xmin"), F.col("ymin"), F.col("wedges")))

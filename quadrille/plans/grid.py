@@ -1,8 +1,13 @@
-"""The uniform grid over which joins are dealt, and its two-layer classes."""
+"""The uniform grid over which joins are dealt, and its two-layer classes.
+
+Boxes far larger than a cell would touch very many. Where there are such, the grid has levels: at level v, 2 ** v by 2 ** v cells
+are one. A box is dealt at the first level where it is at most FEW_CELLS cells wide and high, its own, and at every coarser one,
+so that two boxes meet at the coarser of their own levels, and there only.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,37 +16,69 @@ from quadrille.sources.geometry import Geometries
 from quadrille.types import Bounds, InvalidParameter
 
 ROWS_A_CELL = 50
-MAX_CELLS_PER_DIM = 4096
+#: Cells a side at most; both sides together have no more cells than rows / ROWS_A_CELL.
+MAX_CELLS_PER_DIM = 1 << 16
+FEW_CELLS = 4
+#: Steps between levels.
+LEVEL_STEP = 2
 
 
 @dataclass(frozen=True)
 class Grid:
+    """n cells from left to right, ny from bottom to top (n of them if not given), and its levels, rising from 0."""
+
     bounds: Bounds
     n: int
+    ny: int | None = None
+    levels: tuple[int, ...] = (0,)
     #: Rows of the sets that it was made for, as far as they were counted.
     rows: int = field(default=0, compare=False)
 
     def __post_init__(self):
-        if self.n < 1:
+        object.__setattr__(self, "ny", self.n if self.ny is None else self.ny)
+        if self.n < 1 or self.ny < 1:
             raise InvalidParameter("a grid has a cell at least")
 
     def index(self, v: Column, axis: str) -> Column:
         """Cell number along an axis; what lies outside belongs to the outermost cells."""
-        lo, hi = (self.bounds.xmin, self.bounds.xmax) if axis == "x" else (self.bounds.ymin, self.bounds.ymax)
-        step = (hi - lo) / self.n
+        lo, hi, n = (self.bounds.xmin, self.bounds.xmax, self.n) if axis == "x" else (self.bounds.ymin, self.bounds.ymax, self.ny)
+        step = (hi - lo) / n
         if step <= 0:
             return F.lit(0)
-        return F.least(F.lit(self.n - 1), F.greatest(F.lit(0), F.floor((v - lo) / step))).cast("int")
+        return F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((v - lo) / step))).cast("int")
 
     def cell(self, ix: Column, iy: Column) -> Column:
         return ix.cast("long") + iy.cast("long") * self.n
 
+    def sides(self) -> tuple[float, float]:
+        return (self.bounds.xmax - self.bounds.xmin) / self.n, (self.bounds.ymax - self.bounds.ymin) / self.ny
+
+    def _own(self, margin: float) -> Column:
+        out = F.lit(self.levels[-1])
+        (wx, wy), width, height = self.sides(), F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
+        for v in reversed(self.levels[:-1]):
+            most = FEW_CELLS * (1 << v)
+            out = F.when((width <= most * wx - 2 * margin) & (height <= most * wy - 2 * margin), F.lit(v)).otherwise(out)
+        return out
+
     def exploded(self, df: DataFrame, margin: float = 0.0) -> DataFrame:
-        """A row for each cell that a row's box, widened by margin, touches: ix, iy, ix0, iy0, cell added."""
+        """A row for each cell that a row's box, widened by margin, touches: ix, iy, ix0, iy0, level, own (level), cell added."""
         low = df.withColumns({"ix0": self.index(F.col("xmin") - margin, "x"), "iy0": self.index(F.col("ymin") - margin, "y"),
-                              "ix1": self.index(F.col("xmax") + margin, "x"), "iy1": self.index(F.col("ymax") + margin, "y")})
+                              "ix1": self.index(F.col("xmax") + margin, "x"), "iy1": self.index(F.col("ymax") + margin, "y"), "own": self._own(margin)})
+        if len(self.levels) > 1:
+            every = F.array(*[F.lit(v) for v in self.levels])
+            low = low.withColumn("level", F.explode(F.filter(every, lambda v: v >= F.col("own"))))
+            low = low.withColumns({c: F.floor(F.col(c) / F.pow(F.lit(2), F.col("level"))).cast("int") for c in ("ix0", "iy0", "ix1", "iy1")})
+        else:
+            low = low.withColumn("level", F.lit(self.levels[0]))
         wide = low.withColumn("ix", F.explode(F.sequence("ix0", "ix1"))).withColumn("iy", F.explode(F.sequence("iy0", "iy1")))
-        return wide.withColumn("cell", self.cell(F.col("ix"), F.col("iy"))).drop("ix1", "iy1")
+        cell = self.cell(F.col("ix"), F.col("iy"))
+        return wide.withColumn("cell", cell * 64 + F.col("level") if len(self.levels) > 1 else cell).drop("ix1", "iy1")
+
+
+def meets_once(a: str, b: str) -> Column:
+    """Whether ix, iy, level is the one cell in which a pair is kept; the columns ix0, iy0 and own of its two sides end in a and b."""
+    return ((F.col("ix") == F.greatest(f"ix0{a}", f"ix0{b}")) & (F.col("iy") == F.greatest(f"iy0{a}", f"iy0{b}")) & (F.col("level") == F.greatest(f"own{a}", f"own{b}")))
 
 
 def layer_class() -> Column:
@@ -50,10 +87,19 @@ def layer_class() -> Column:
     return F.when(column & row, "A").when(column, "B").when(row, "C").otherwise("D")
 
 
-def grid_for(*sets: Geometries, n: int | None = None, bounds: Bounds | None = None) -> Grid:
-    """A grid over the union of the sets' bounds. Without n: about ROWS_A_CELL rows a cell, cells not under twice the mean side.
+def _levels(largest: list[tuple[float, float]], sides: tuple[float, float]) -> tuple[int, ...]:
+    """Levels such that boxes of the largest widths and heights touch few cells of the coarsest."""
+    out = [0]
+    while out[-1] < 16 and any(m > FEW_CELLS * (1 << out[-1]) * side > 0 for box in largest for m, side in zip(box, sides)):
+        out.append(out[-1] + LEVEL_STEP)
+    return tuple(out)
+
+
+def grid_for(*sets: Geometries, n: int | None = None, bounds: Bounds | None = None, windows: DataFrame | None = None) -> Grid:
+    """A grid over the union of the sets' bounds. Without n: about ROWS_A_CELL rows a cell, cells not under twice the mean side
+    of the rows' boxes, so that a plane far wider than high has more cells that way.
 
-    Bounds that are given are used as they are; with n, nothing is read then.
+    Bounds that are given are used as they are; with n, nothing is read then. windows: other boxes that are to be dealt over it.
     """
     known = [s.bounds for s in sets]
     if bounds is None and all(known):
@@ -65,15 +111,25 @@ def grid_for(*sets: Geometries, n: int | None = None, bounds: Bounds | None = No
     stats = None
     for s in sets:
         part = s.df.agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), F.count(F.lit(1)).alias("n"),
-                        F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.lit(0.0))).alias("w"), F.avg(F.col("ymax") - F.col("ymin")).alias("h"))
+                        F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.lit(0.0))).alias("w"), F.avg(F.col("ymax") - F.col("ymin")).alias("h"),
+                        F.max(F.col("xmax") - F.col("xmin")).alias("most_w"), F.max(F.col("ymax") - F.col("ymin")).alias("most_h"))
         stats = part if stats is None else stats.unionByName(part)
     rows = [r for r in stats.collect() if r["n"]]  # a row a set
     if not rows:
         return Grid(bounds or Bounds(0, 0, 1, 1), n or 1)
     if bounds is None:
         bounds = Bounds(min(r["xmin"] for r in rows), min(r["ymin"] for r in rows), max(r["xmax"] for r in rows), max(r["ymax"] for r in rows))
-    if n is None:
-        side = (max(r["n"] for r in rows) / ROWS_A_CELL) ** 0.5
-        wide = [(bounds.xmax - bounds.xmin) / (2 * r["w"]) for r in rows if r["w"]] + [(bounds.ymax - bounds.ymin) / (2 * r["h"]) for r in rows if r["h"]]
-        n = int(max(1, min(MAX_CELLS_PER_DIM, side, *wide)))
-    return Grid(bounds, n, sum(r["n"] for r in rows))
+    counted = sum(r["n"] for r in rows)
+    largest = [(r["most_w"], r["most_h"]) for r in rows]
+    if windows is not None:
+        w = windows.agg(F.max(F.col("xmax") - F.col("xmin")).alias("w"), F.max(F.col("ymax") - F.col("ymin")).alias("h")).head()
+        largest += [(w["w"], w["h"])] if w["w"] is not None else []
+    levelled = lambda g: replace(g, levels=_levels(largest, g.sides()))
+    if n is not None:
+        return levelled(Grid(bounds, n, rows=counted))
+    cells = max(r["n"] for r in rows) / ROWS_A_CELL
+    most_x = min([MAX_CELLS_PER_DIM, *[(bounds.xmax - bounds.xmin) / (2 * r["w"]) for r in rows if r["w"]]])
+    most_y = min([MAX_CELLS_PER_DIM, *[(bounds.ymax - bounds.ymin) / (2 * r["h"]) for r in rows if r["h"]]])
+    ny = max(1.0, min(cells**0.5, most_y))
+    nx = max(1.0, min(cells / ny, most_x))
+    return levelled(Grid(bounds, int(nx), int(max(1.0, min(cells / nx, most_y))), rows=counted))

@@ -330,3 +330,33 @@ def test_time_and_unknown_datasets(spark):
     assert 0 <= e.time() <= e.time()
     with pytest.raises(UnknownDataset):
         e.query(PredicateJoinQuery(1, "COUNT", 0, 1, QueryType.MEET))
+
+
+def test_large_boxes_and_windows_touch_few_cells(spark):
+    from quadrille.plans.grid import grid_for
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(1500):
+        x, y, size = rng.randrange(4000), rng.randrange(500), rng.choice([1, 2, 3])
+        rows.append((i, x, y, x + size, y + size))
+    rows += [(9000, 0, 0, 4000, 500), (9001, 100, 0, 130, 500), (9002, 0, 250, 4000, 251), (9003, 30, 30, 90, 90)]
+    boxes = source.from_boxes(spark.createDataFrame(rows, "i long, a long, b long, c long, d long"), *[F.col(c) for c in "iabcd"])
+    grid = grid_for(boxes, n=256)
+    assert len(grid.levels) > 1 and grid.n == grid.ny == 256 and grid.exploded(boxes.df).groupBy("rec_id").count().agg(F.max("count")).collect()[0][0] <= 40 * len(grid.levels)
+    meets = lambda r, s: r[1] <= s[3] and s[1] <= r[3] and r[2] <= s[4] and s[2] <= r[4]
+    expected = sorted((r[0], s[0]) for r in rows for s in rows if meets(r, s))
+    for n in (None, 1, 256):
+        assert sorted(map(tuple, joins.predicate_join(boxes, boxes, "intersect", n).collect())) == expected
+    some = [r for r in rows if r[0] % 60 == 0] + rows[-4:]
+    windows = spark.createDataFrame([(r[0], f"BOX({r[1]} {r[2]},{r[3]} {r[4]})") for r in some], "qid int, wkt string")
+    for n in (None, 256):
+        assert sorted(map(tuple, selection.range_batch(boxes, windows, n).collect())) == sorted((w[0], r[0]) for w in some for r in rows if meets(w, r))
+
+
+def test_a_wide_plane_has_more_columns_than_rows_of_cells(spark):
+    from quadrille.plans.grid import grid_for
+
+    t = spark.range(20_000).select(F.col("id"), (F.col("id") % 10_000).alias("x"), (F.col("id") % 7).alias("y"))
+    grid = grid_for(source.from_boxes(t, F.col("id"), F.col("x"), F.col("y"), F.col("x") + 3, F.col("y") + 3))
+    assert grid.n > 100 and grid.ny == 1
