@@ -98,29 +98,42 @@ def raster(kind: str, flat_pts: np.ndarray, bounds: Bounds, order: int) -> tuple
     return _runs(np.concatenate([every, full])), _runs(full)
 
 
+def _bytes_of(order: int) -> str:
+    """Starts and ends of an order's intervals as little-endian integers."""
+    return "<u4" if order < 16 else "<i8"
+
+
 def with_intervals(df: DataFrame, bounds: Bounds, order: int) -> DataFrame:
-    """Adds april, a struct of the two lists. Rows are dealt evenly first, as a shape costs far more to raster than to move."""
+    """Adds april, a struct of the two lists, and of both as bytes, in which joins compare them.
+
+    Rows are dealt evenly first, as a shape costs far more to raster than to move.
+    """
 
-    @F.arrow_udf(f"all_: {INTERVALS}, full_: {INTERVALS}")
+    @F.arrow_udf(f"all_: {INTERVALS}, full_: {INTERVALS}, all_b: binary, full_b: binary")
     def run(kinds: pa.Array, rows: pa.Array) -> pa.Array:
         made = [raster(k, p, bounds, order) for k, p in zip(kinds.to_pylist(), _lists(rows))]
         item = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-        return pa.StructArray.from_arrays([pa.array([a for a, _ in made], item), pa.array([b for _, b in made], item)], names=["all_", "full_"])
+        packed = lambda runs: np.array([v for r in runs for v in (r["s"], r["e"])], _bytes_of(order)).tobytes()
+        lists = [pa.array([m[k] for m in made], item) for k in (0, 1)]
+        return pa.StructArray.from_arrays([*lists, *[pa.array([packed(m[k]) for m in made], pa.binary()) for k in (0, 1)]], names=["all_", "full_", "all_b", "full_b"])
 
     spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4)
     return spread.withColumn("april", run(F.col("gtype"), g.flat(F.col("pts"))))
 
 
 def _laid_out(lists: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of every interval; each row on a stretch of the line of its own."""
-    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    flat = lists.flatten()
+    """Row, start and end of every interval of lists as bytes; each row on a stretch of the line of its own."""
+    kind = np.dtype(_bytes_of(order))
+    _, offsets, data = lists.buffers()
+    at = np.frombuffer(offsets, np.int32)[lists.offset : lists.offset + len(lists) + 1]
+    flat = np.frombuffer(memoryview(data)[at[0] : at[-1]] if data and at[-1] > at[0] else b"", kind).astype(np.int64)
+    rows = np.repeat(np.arange(len(lists)), np.diff(at) // (2 * kind.itemsize))
     base = rows << (2 * order + 1)
-    return rows, flat.field("s").to_numpy() + base, flat.field("e").to_numpy() + base
+    return rows, flat[::2] + base, flat[1::2] + base
 
 
 def lists_meet(a: Column, b: Column, order: int) -> Column:
-    """Half-open intervals of two sorted lists that share a place; a batch of rows is one merge."""
+    """Half-open intervals of two sorted lists (as bytes) that share a place; a batch of rows is one merge."""
 
     @F.arrow_udf("boolean")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -133,7 +146,7 @@ def lists_meet(a: Column, b: Column, order: int) -> Column:
 
 
 def list_within(a: Column, b: Column, order: int) -> Column:
-    """Whether every interval of the first sorted list lies in one of the second, whose runs do not touch each other."""
+    """Whether every interval of the first sorted list (as bytes) lies in one of the second, whose runs do not touch each other."""
 
     @F.arrow_udf("boolean")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -150,8 +163,8 @@ def list_within(a: Column, b: Column, order: int) -> Column:
 
 def verdict(r: Column, s: Column, order: int) -> Column:
     """Of intersection: MISS, HIT or UNSURE. HIT: the interiors have a point in common."""
-    return (F.when(~lists_meet(r["all_"], s["all_"], order), "MISS")
-            .when(lists_meet(r["all_"], s["full_"], order) | lists_meet(r["full_"], s["all_"], order), "HIT").otherwise("UNSURE"))
+    return (F.when(~lists_meet(r["all_b"], s["all_b"], order), "MISS")
+            .when(lists_meet(r["all_b"], s["full_b"], order) | lists_meet(r["full_b"], s["all_b"], order), "HIT").otherwise("UNSURE"))
 
 
 def predicate_verdict(name: str, r: Column, s: Column, order: int) -> Column:
@@ -164,9 +177,9 @@ def predicate_verdict(name: str, r: Column, s: Column, order: int) -> Column:
     part = {"inside": (r, s), "covered_by": (r, s), "contains": (s, r), "covers": (s, r)}
     if name in part:
         inner, outer = part[name]
-        return F.when(list_within(inner["all_"], outer["full_"], order), yes).when(~list_within(inner["full_"], outer["all_"], order), no).when(~lists_meet(r["all_"], s["all_"], order), no)
+        return F.when(list_within(inner["all_b"], outer["full_b"], order), yes).when(~list_within(inner["full_b"], outer["all_b"], order), no).when(~lists_meet(r["all_b"], s["all_b"], order), no)
     if name == "equal":
-        return F.when(~(list_within(r["full_"], s["all_"], order) & list_within(s["full_"], r["all_"], order)), no)
+        return F.when(~(list_within(r["full_b"], s["all_b"], order) & list_within(s["full_b"], r["all_b"], order)), no)
     seen = verdict(r, s, order)
     hit, miss = {"intersect": (yes, no), "disjoint": (no, yes), "meet": (no, no)}[name]
     return F.when(seen == "HIT", hit).when(seen == "MISS", miss)
@@ -175,5 +188,5 @@ def predicate_verdict(name: str, r: Column, s: Column, order: int) -> Column:
 def relation_verdict(case: Column, r: Column, s: Column, order: int) -> Column:
     """Relation code of a pair, or null where the intervals do not tell. case: how the boxes lie."""
     seen = verdict(r, s, order)
-    return (F.when(seen == "MISS", 0).when(list_within(r["all_"], s["full_"], order), 2).when(list_within(s["all_"], r["full_"], order), 3)
+    return (F.when(seen == "MISS", 0).when(list_within(r["all_b"], s["full_b"], order), 2).when(list_within(s["all_b"], r["full_b"], order), 3)
             .when((seen == "HIT") & (case == "INTERSECT"), 1))

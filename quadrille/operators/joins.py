@@ -36,6 +36,8 @@ def _side(x: Geometries, grid: Grid, suffix: str, shape: bool, margin: float = 0
         df = x.cells
     else:
         df = grid.exploded(x.df.select(*columns), margin)
+    if "april" in columns:
+        df = df.withColumn("april", F.struct("april.all_b", "april.full_b"))
     return df.select("cell", "ix", "iy", "level", *[F.col(c).alias(f"{c}_{suffix}") for c in (*columns, "ix0", "iy0", "own")])
 
 
