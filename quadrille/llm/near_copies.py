@@ -1,11 +1,12 @@
 """SimHash near-dedup at a similarity: which texts share so much of their word shingles.
 
 A radius of a few bits, as simhash_dedup() takes it, reaches few texts of Jaccard similarity 0.8, whose fingerprints differ in
-ten bits of 64 on average; for a radius that does reach them no choice of blocks leaves keys of use. Here rows meet under keys of
-least shingle hashes instead (30 keys of five; a pair of similarity 0.8 meets under none with odds of 7 in a million).
+ten bits of 64 on average; for a radius that does reach them no choice of blocks leaves keys of use. Here rows meet under MinHash keys, of
+least shingle hashes, instead (30 keys of five; a pair of similarity 0.8 meets under none with odds of 7 in a million).
 What meets is compared by SimHash as in simhash_dedup(): bit planes, carry-save counters, blocks given up beyond the
 radius. Pairs within the radius are confirmed by their whole sets of shingles, but for those that are linked already. What meets
-is gathered by components of the keys' stars; a large component is dealt out as pairs of chunks.
+is gathered by components of the keys' stars. A large component is cut into chunks that first meet chunk 0 alone, which links most
+of a group of copies; then what is not in the component's largest group found meets all of the component, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -73,9 +74,9 @@ def near_pairs(fps: np.ndarray, run: np.ndarray, radius: int):
                 yield members[at + i[ahead]], members[at + j[ahead]]
 
 
-def confirmed(sets: list[np.ndarray], run: np.ndarray, percent: int, radius: int) -> list[tuple[int, int]]:
-    """Links (places) that span what is similar in each run."""
-    label, found = np.arange(len(sets)), []
+def confirmed(sets: list[np.ndarray], run: np.ndarray, percent: int, radius: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (places) that span what is similar in each run; known: numbers of groups that are linked already."""
+    label, found = np.arange(len(sets)) if known is None else known.copy(), []
     for i, j in near_pairs(np.array([majority(s) for s in sets], np.uint64), run, radius):
         open_ = label[i] != label[j]
         for p, q in zip(i[open_].tolist(), j[open_].tolist()):
@@ -95,6 +96,34 @@ def near_copies(df: DataFrame, id_col: str, content: Column, text_col: str = "te
     """
     rows = df.where(col(id_col).isNotNull()).select(col(id_col).cast("long").alias("id"), content.cast("long").alias("content"), col(text_col).cast("string").alias("text"))
 
+    def compared(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+        """Links among rows dealt to one key (node, known: the group it is in already, key); none within a known group."""
+        dealt = staged(dealt.select("node.id", "node.content", F.col("known.id").alias("gi"), F.col("known.content").alias("gc"), "key"), "dealt")
+        texts = rows.join(checked(dealt), ["id", "content"]).select("key", "id", "content", "gi", "gc", "text")
+        spread = texts.repartition("key").sortWithinPartitions("key")
+        links = spread.mapInArrow(compare, "ai long, ac long, bi long, bc long")
+        pair = lambda i, c: F.struct(F.col(i).alias("id"), F.col(c).alias("content"))
+        return links.select(pair("ai", "ac").alias("a"), pair("bi", "bc").alias("b"))
+
+    def compare(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for key, *node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(held) >= HELD and held[-1][0] != key:
+                    yield from emit(held)
+                    held = []
+                held.append((key, *node, shingles(text, shingle)))
+        if held:
+            yield from emit(held)
+
+    def emit(held):
+        run = np.unique(np.array([h[0] for h in held], np.int64), return_inverse=True)[1]
+        known = np.unique(np.array([h[3:5] for h in held], np.int64), axis=0, return_inverse=True)[1].reshape(-1)
+        found = confirmed([h[5] for h in held], run, percent, radius, known)
+        if found:
+            a, b = ([held[i] for i in side] for side in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in side], pa.int64()) for side in (a, b) for c in (1, 2)], names=["ai", "ac", "bi", "bc"])
+
     def sign(batches):
         for batch in batches:
             keys = [bands(shingles(t.as_py(), shingle)) for t in batch.column(2)]
@@ -112,32 +141,34 @@ def near_copies(df: DataFrame, id_col: str, content: Column, text_col: str = "te
     near = near.select("node", "root").union(near.select(F.col("root").alias("node"), "root").distinct())
     near = staged(near.join(marks.select(node.alias("node"), "chars").groupBy("node").agg(F.max("chars").alias("chars")), "node"), "candidates")
 
-    size = near.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("chars") / CHUNK_CHARS), F.lit(1)).cast("int").alias("m"))
-    dealt = near.join(size, "root").select("node.id", "node.content", "root", "m", F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")).cast("int").alias("c"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = staged(dealt.select("id", "content", F.xxhash64("root", F.least("c", "o"), F.greatest("c", "o")).alias("key")), "dealt")
-    texts = rows.join(checked(dealt), ["id", "content"]).select("key", "id", "content", "text")
-
-    def compare(batches):
-        held: list[tuple] = []
-        for batch in batches:
-            for key, id_, content_, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(held) >= HELD and held[-1][0] != key:
-                    yield from emit(held)
-                    held = []
-                held.append((key, id_, content_, shingles(text, shingle)))
-        if held:
-            yield from emit(held)
-
-    def emit(held):
-        run = np.unique(np.array([h[0] for h in held], np.int64), return_inverse=True)[1]
-        found = confirmed([h[3] for h in held], run, percent, radius)
-        if found:
-            a, b = ([held[i] for i in side] for side in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in side], pa.int64()) for side in (a, b) for c in (1, 2)], names=["ai", "ac", "bi", "bc"])
-
-    spread = texts.repartition("key").sortWithinPartitions("key")
-    links = spread.mapInArrow(compare, "ai long, ac long, bi long, bc long")
-    pair = lambda i, c: F.struct(F.col(i).alias("id"), F.col(c).alias("content"))
-    out = components(links.select(pair("ai", "ac").alias("a"), pair("bi", "bc").alias("b")), "near")
+    def parted(of: DataFrame, m: str) -> DataFrame:
+        """With the number of chunks that a row's component goes into. Only those of large ones are joined, so that no component meets in a task."""
+        count = F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("chars") / CHUNK_CHARS)).cast("int").alias(m)
+        many = staged(of.groupBy("root").agg(count).where(F.col(m) > 1), "sizes")
+        return of.join(checked(many), "root", "left").withColumn(m, F.coalesce(m, F.lit(1)))
+
+    place = lambda m, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(m)).cast("int")
+    numbers = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    near = staged(parted(near, "m").withColumn("c", place("m", 7)), "chunks")
+
+    # First each chunk with the chunk 0 of its component: similar texts are mostly linked by way of that.
+    first = near.withColumn("o", F.explode(F.when(F.col("c") == 0, F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array("c"))))
+    links = staged(compared(rows, first.select("node", F.col("node").alias("known"), F.xxhash64("root", "o").alias("key"))), "links")
+    out = components(links, "near")
+
+    # Then whatever is not in the largest group found of a component, with all of the component.
+    large = near.where("m > 1")
+    if not large.isEmpty():
+        large = large.join(out.withColumnRenamed("root", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+        large = staged(large, "known")
+        counts = large.groupBy("root", "known").agg(F.count(F.lit(1)).alias("n"))
+        main = staged(counts.groupBy("root").agg(F.max(F.struct("n", "known"))["known"].alias("main")), "main")
+        rest = staged(large.join(checked(main), "root").where("known <> main").drop("main"), "others")
+        rest = staged(parted(rest, "m_r").withColumn("r", place("m_r", 11)), "rest")
+        if not rest.isEmpty():
+            ask = rest.withColumn("o", numbers("m")).select("node", "known", F.xxhash64("root", "r", "o").alias("key"))
+            asked = staged(rest.select("root", "m_r").distinct(), "asked")
+            each = large.join(checked(asked), "root").withColumn("r", numbers("m_r"))
+            each = each.select("node", "known", F.xxhash64("root", "r", F.col("c")).alias("key"))
+            out = components(links.union(compared(rows, ask.union(each).distinct())), "near")
     return out.select("node.id", "node.content", F.col("root.id").alias("root_id"), F.col("root.content").alias("root_content"))

@@ -63,6 +63,39 @@ def test_near_components_do_not_depend_on_chunks(spark):
         assert got == {i: r for i, r in enumerate(label) if i != r}
 
 
+def test_near_deals_a_large_component_in_proportion(spark, monkeypatch):
+    """200 copies of one text, a chain that leads away from it, and one text that meets the others but resembles none."""
+    base = words(1, 300)
+    rows = [(i, changed(base, f"c{i}", 1)) for i in range(200)]
+    link = base
+    for i in range(200, 206):
+        link = changed(link, f"d{i}", 4)
+        rows.append((i, link))
+    rows.append((206, changed(base, "far", 12)))
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "a", 1) for i, w in rows], DOCS)
+    dealt, write = [], near_copies.staged
+
+    def counted(df, label, *path):
+        out = write(df, label, *path)
+        if label == "dealt":
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "staged", counted)
+    sets = {i: set(near_copies.shingles(" ".join(w)).tolist()) for i, w in rows}
+    root, open_ = {0: 0}, [0]
+    while open_:
+        a = open_.pop()
+        for b in sets.keys() - root.keys():
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[b] = 0
+                open_.append(b)
+    assert len(root) >= 200
+    got = {r.id: r.root_id for r in near_copies.near_copies(docs, "doc_id", F.xxhash64("text"), chunk=8).collect()}
+    assert got == {i: 0 for i in root if i}
+    assert dealt[0] <= 3 * len(rows) and sum(dealt) <= 8 * len(rows)  # 26 times the rows if each chunk met each
+
+
 def test_near_keeps_the_other_text_of_a_repeated_id(spark):
     a, b = words(1, 300), words(2, 300)
     rows = [(1, a), (2, changed(a, "a", 2)), (2, b), (3, changed(b, "b", 2))]  # id 2 goes with the first, and stands for the last
