@@ -24,8 +24,9 @@ PERCENT = 80
 #: Of texts of similarity 0.8, about 1 in 4000 differ in more bits than this (mean 9.7, deviation 2.9).
 RADIUS = 20
 BANDS, ROWS = 30, 5
-CHUNK = 2048
-CHUNK_CHARS = 16_000_000
+#: Rows, and characters, of a chunk of a component; a task meets two chunks at a time.
+CHUNK = 1024
+CHUNK_CHARS = 8_000_000
 HELD = 4096
 _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _FACTORS.reshape(BANDS, ROWS)
@@ -151,8 +152,9 @@ def near_copies(df: DataFrame, id_col: str, content: Column, text_col: str = "te
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
     near = staged(parted(near, "m").withColumn("c", place("m", 7)), "chunks")
 
-    # First each chunk with the chunk 0 of its component: similar texts are mostly linked by way of that.
-    first = near.withColumn("o", F.explode(F.when(F.col("c") == 0, F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array("c"))))
+    # First each chunk with the chunk 0 of its component: similar texts are mostly linked by way of that. Chunk 0 meets itself beside chunk 1.
+    others = F.sequence(F.least(F.lit(1), F.col("m") - 1), F.col("m") - 1)
+    first = near.withColumn("o", F.explode(F.when(F.col("c") == 0, others).otherwise(F.array("c"))))
     links = staged(compared(rows, first.select("node", F.col("node").alias("known"), F.xxhash64("root", "o").alias("key"))), "links")
     out = components(links, "near")
 
