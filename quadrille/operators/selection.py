@@ -62,8 +62,7 @@ def range_batch(data: Geometries, queries: DataFrame, n: int | None = None) -> D
             pairs = pairs.withColumn("pts", g.box_points(*[F.col(c) for c in BOX]))
         known = F.when(boxes & (g.within(own, box) | F.lit(data.kind == DataType.BOX)), F.lit(True))
         pairs = pairs.withColumn("known", known).repartition(max(data.df.sparkSession.sparkContext.defaultParallelism * 2, tasks))
-        kind = F.lit(data.kind.value)
-        pairs = pairs.where(predicate_column("intersect", kind, g.flat(F.col("pts")), F.lit("POLYGON"), g.flat(F.col("wpts")), F.col("known")))
+        pairs = pairs.where(predicate_column("intersect", data.kind.value, g.flat(F.col("pts")), "POLYGON", g.flat(F.col("wpts")), F.col("known")))
     return pairs.select("qid", "rec_id")
 
 

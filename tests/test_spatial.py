@@ -337,7 +337,7 @@ def test_large_boxes_and_windows_touch_few_cells(spark):
 
     rng = random.Random(21)
     rows = []
-    for i in range(1500):
+    for i in range(250):
         x, y, size = rng.randrange(4000), rng.randrange(500), rng.choice([1, 2, 3])
         rows.append((i, x, y, x + size, y + size))
     rows += [(9000, 0, 0, 4000, 500), (9001, 100, 0, 130, 500), (9002, 0, 250, 4000, 251), (9003, 30, 30, 90, 90)]
@@ -360,3 +360,63 @@ def test_a_wide_plane_has_more_columns_than_rows_of_cells(spark):
     t = spark.range(20_000).select(F.col("id"), (F.col("id") % 10_000).alias("x"), (F.col("id") % 7).alias("y"))
     grid = grid_for(source.from_boxes(t, F.col("id"), F.col("x"), F.col("y"), F.col("x") + 3, F.col("y") + 3))
     assert grid.n > 100 and grid.ny == 1
+
+
+def test_convex_shapes_agree_with_the_exact_kernel():
+    """Touching, nested, equal and crossing convex shapes: all whole ones are decided together, as the exact kernel says."""
+    import numpy as np
+
+    from quadrille.functions import kernels as k
+
+    rng = random.Random(8)
+
+    def shape(kind):
+        x, y, r = rng.randint(0, 7), rng.randint(0, 7), rng.randint(1, 4)
+        corners = rng.choice([[(-r, 0), (0, r), (r, 0), (0, -r)], [(0, 0), (r, 0), (r, r), (0, r)], [(0, 0), (0, r), (r, r), (r, 0)]])
+        pts = [(x + a, y + b) for a, b in corners] if kind == "POLYGON" else [(x, y), (x + rng.choice([-r, 0, r]), y + r)]
+        return np.array([v for p in (pts + pts[:1] if kind == "POLYGON" else pts) for v in p], float)
+
+    for kr, ks in (("POLYGON", "POLYGON"), ("LINESTRING", "POLYGON"), ("POLYGON", "LINESTRING"), ("LINESTRING", "LINESTRING")):
+        r, s = [shape(kr) for _ in range(250)], [shape(ks) for _ in range(250)]
+        at = k.convex_sides(kr, np.array(r).T, ks, np.array(s).T)
+        assert at.sure.all()
+        exact = [k.shapes(kr, a, ks, b) for a, b in zip(r, s)]
+        for name in k.MASKS:
+            told = k._convex_predicate(name, kr, ks, at)
+            assert all(t == k.predicate(name, *e) for t, e in zip(told.tolist(), exact) if t >= 0)
+            assert (told >= 0).all() or kr == ks == "LINESTRING"
+        if kr == ks == "POLYGON":
+            assert k._convex_relation(kr, ks, at).tolist() == [k.classify(k._boxes_case(a, b), k.relate(*e)) for a, b, e in zip(r, s, exact)]
+    pairs = [([0, 0, 4, 0, 1, 1, 0, 4, 0, 0], True), ([0, 0, 0.1, 0, 0.1, 0.1, 0, 0.1, 0, 0], True), ([0, 0, 4, 0, 4, 4, 0, 4, 0, 0], False)]
+    for ring, open_ in pairs:  # a ring that is not convex, one that is not whole
+        assert k.convex_sides("POLYGON", np.array([ring], float).T, "POLYGON", np.array([SQUARE], float).T).sure[0] != open_
+
+
+@pytest.mark.parametrize("name", ["diamond_find_relation_count", "polygon_box_intersect_join", "point_polygon_inside_join", "polygon_point_contains_join", "diamond_intersect_join", "box_intersect_join", "april_contains_join"])
+def test_no_side_of_a_join_is_broadcast_and_no_pair_is_shuffled(spark, name):
+    """A file's few columns are small and the shapes made of them are not; pairs are far more than shapes."""
+    from quadrille.plans.catalogue import QUERIES
+
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [cell" in plan or "FlatMapCoGroups" in plan
+    assert "BroadcastHashJoin [cell" not in plan and "BroadcastNestedLoopJoin" not in plan and "RoundRobinPartitioning" not in plan.split("FlatMapCoGroups")[0].split("SortMergeJoin")[0]
+
+
+def test_intervals_are_passed_on_in_small_batches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from quadrille.operators import april
+    from quadrille.types import Bounds
+
+    monkeypatch.setattr(april, "MOST_HELD", 1000)
+    rings = [[x - 40, 500, x, 540, x + 40, 500, x, 460, x - 40, 500] for x in range(50, 550)]
+    batch = pa.record_batch({"rec_id": list(range(500)), "gtype": ["POLYGON"] * 500, "flat_": pa.array(rings, pa.list_(pa.float64()))})
+    made = list(april.interval_batches([batch], Bounds(0, 0, 1023, 1023), 10))
+    assert [i for b in made for i in b.column("rec_id").to_pylist()] == list(range(500))
+    assert max(sum(len(x["all_"]) + len(x["full_"]) for x in b.column("april").to_pylist()) for b in made) < 1000 + 2 * 200
+    for i, x in enumerate(v for b in made for v in b.column("april").to_pylist()):
+        if i % 50 == 0:
+            assert (x["all_"], x["full_"]) == april.raster("POLYGON", np.array(rings[i], float), Bounds(0, 0, 1023, 1023), 10)
+            assert np.frombuffer(x["all_b"], "<u4").tolist() == [v for run in x["all_"] for v in (run["s"], run["e"])]
