@@ -53,7 +53,7 @@ def range_batch(data: Geometries, queries: DataFrame, n: int | None = None) -> D
         grid = grid_for(data, n=n, windows=dealt)
         a = grid.exploded(rows)
         b = grid.exploded(dealt).select("cell", *w.columns, *[F.col(c).alias(f"{c}_w") for c in ("ix0", "iy0", "own")])
-        pairs, tasks = a.join(b, "cell").where(g.overlap(own, box) & meets_once("", "_w")), grid.rows // ROWS_A_TASK
+        pairs, tasks = a.join(b.hint("merge"), "cell").where(g.overlap(own, box) & meets_once("", "_w")), grid.rows // ROWS_A_TASK
     boxes = F.col("wtype") == "BOX"
     if data.kind == DataType.POINT:
         pairs = pairs.where(boxes | g.point_meets_ring(F.col("xmin"), F.col("ymin"), F.col("wedges")))

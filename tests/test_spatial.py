@@ -420,3 +420,16 @@ def test_intervals_are_passed_on_in_small_batches(monkeypatch):
         if i % 50 == 0:
             assert (x["all_"], x["full_"]) == april.raster("POLYGON", np.array(rings[i], float), Bounds(0, 0, 1023, 1023), 10)
             assert np.frombuffer(x["all_b"], "<u4").tolist() == [v for run in x["all_"] for v in (run["s"], run["e"])]
+
+
+def test_cells_fit_the_windows_of_a_wide_plane(spark):
+    """In a plane a thousand times wider than high, windows as wide as high touch few cells, all on one level."""
+    t = spark.range(20_000).select("id", (F.col("id") * 50.0).alias("x"), (F.col("id") % 1000).cast("double").alias("y"))
+    points = source.from_points(t, F.col("id"), F.col("x"), F.col("y"))
+    w = spark.range(100).select((F.col("id") * 10_000.0).alias("xmin"), F.lit(100.0).alias("ymin"), (F.col("id") * 10_000.0 + 800).alias("xmax"), F.lit(900.0).alias("ymax"))
+    from quadrille.plans.grid import grid_for
+
+    grid = grid_for(points, windows=w)
+    assert grid.levels == (0,) and min(grid.sides()) >= 300 and grid.exploded(w).count() <= 100 * 12
+    pairs = grid.exploded(points.df.select("rec_id", "xmin", "ymin", "xmax", "ymax")).select("cell").join(grid.exploded(w).select("cell"), "cell").count()
+    assert pairs <= 16 * points.df.join(w.select(*[F.col(c).alias(f"w_{c}") for c in w.columns]), (F.col("xmin") >= F.col("w_xmin")) & (F.col("xmin") <= F.col("w_xmax")) & (F.col("ymin") >= F.col("w_ymin")) & (F.col("ymin") <= F.col("w_ymax"))).count()
