@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as g
 from quadrille.functions.kernels import predicate_column
-from quadrille.plans.grid import ROWS_A_CELL, Grid, grid_for, meets_once
+from quadrille.plans.grid import MAX_CELLS_PER_DIM, ROWS_A_CELL, Grid, grid_for, meets_once
 from quadrille.sources.geometry import BOX, Geometries
 from quadrille.types import Bounds, DataType, InvalidGeometry, InvalidParameter
 
@@ -19,7 +19,7 @@ ROWS_A_TASK = 25_000
 BROADCAST_WINDOWS = 16
 #: Windows a stream's queries may have: they are broadcast to every batch (a few hundred bytes each).
 MOST_STREAM_WINDOWS = 100_000
-#: Cells a side of the coarsest counts that neighbour queries start from, and of the finest.
+#: Neighbour queries start from counts of KNN_COARSEST ** 2 cells at most; KNN_FINEST: cells a side at most where a number is given.
 KNN_COARSEST, KNN_FINEST = 8, 4096
 
 
@@ -106,6 +106,27 @@ def knn(data: Geometries, x: float, y: float, k: int) -> DataFrame:
     return near.select(F.row_number().over(Window.orderBy("dist", "rec_id")).alias("rank"), "rec_id", "dist")
 
 
+def _power(v: float) -> int:
+    """The power of two at or under v, 1 at least and KNN_FINEST at most a side."""
+    side = 1
+    while side * 2 <= min(KNN_FINEST, v):
+        side *= 2
+    return side
+
+
+def knn_cells(b: Bounds, rows: int) -> tuple[int, int]:
+    """Cells each way, powers of two, about as wide as high, with ROWS_A_CELL rows where rows are spread evenly."""
+    width, height, cells = b.xmax - b.xmin, b.ymax - b.ymin, max(1, rows // ROWS_A_CELL)
+    ratio = width / height if width > 0 and height > 0 else float(cells) if width > 0 else 1 / cells
+    nx = 1
+    while nx * 2 <= min(MAX_CELLS_PER_DIM, cells, (2 * cells * ratio) ** 0.5):  # the sides' ratio is within two of the plane's
+        nx *= 2
+    ny = 1
+    while ny * 2 <= min(MAX_CELLS_PER_DIM, cells / nx):
+        ny *= 2
+    return nx, ny
+
+
 def knn_batch(data: Geometries, queries: DataFrame, k: int | None = None, n: int | None = None) -> DataFrame:
     """qid, rank, rec_id, dist for (qid, x, y) queries (k: a column if not given); ties by rec_id.
 
@@ -116,17 +137,15 @@ def knn_batch(data: Geometries, queries: DataFrame, k: int | None = None, n: int
     k_ = F.lit(k) if k else F.col("k")
     q = queries.select("qid", F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy"), k_.alias("k"))
     made = grid_for(data, n=n)
-    side = KNN_COARSEST
-    while side * 2 <= min(KNN_FINEST, n or max(1, made.rows // ROWS_A_CELL) ** 0.5):
-        side *= 2
-    b, grid = made.bounds, Grid(made.bounds, side)
+    b = made.bounds
+    grid = Grid(b, *([_power(n)] * 2 if n else knn_cells(b, made.rows)))
     eps = 1e-9 * max(1.0, abs(b.xmax), abs(b.xmin), abs(b.ymax), abs(b.ymin))
     points = data.df.select("rec_id", F.col("xmin").alias("px"), F.col("ymin").alias("py"), grid.index(F.col("xmin"), "x").alias("cx"), grid.index(F.col("ymin"), "y").alias("cy"))
-    counts = points.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m"))  # KNN_FINEST ** 2 rows at most
+    counts = points.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m"))  # a row for each ROWS_A_CELL points at most, unless n says otherwise
 
-    def nearest(cells: DataFrame, at: int) -> DataFrame:
-        """Of each query's cells of a grid of `at` cells a side, those that may hold one of its k points."""
-        wx, wy = (b.xmax - b.xmin) / at, (b.ymax - b.ymin) / at
+    def nearest(cells: DataFrame, by: int) -> DataFrame:
+        """Of each query's cells of the grid with `by` by `by` cells for one, those that may hold one of its k points."""
+        wx, wy = (b.xmax - b.xmin) / grid.n * min(by, grid.n), (b.ymax - b.ymin) / grid.ny * min(by, grid.ny)
         gaps, spans = [], []
         for v, c, lo, w in ((F.col("qx"), F.col("cx"), b.xmin, wx), (F.col("qy"), F.col("cy"), b.ymin, wy)):
             low = c * w + lo
@@ -139,20 +158,24 @@ def knn_batch(data: Geometries, queries: DataFrame, k: int | None = None, n: int
         cells = cells.withColumn("bound", enough).where(F.col("bound").isNull() | (F.col("near") <= F.col("bound")))
         return cells.select("qid", "qx", "qy", "k", "cx", "cy")
 
-    def of_grid(at: int) -> DataFrame:
-        by = side // at
+    def of_grid(by: int) -> DataFrame:
         return counts.groupBy(F.floor(F.col("cx") / by).cast("int").alias("cx"), F.floor(F.col("cy") / by).cast("int").alias("cy")).agg(F.sum("m").alias("m"))
 
-    at = KNN_COARSEST
-    every = F.explode(F.sequence(F.lit(0), F.lit(at * at - 1)))
-    cells = q.withColumn("c", every).select(*q.columns, (F.col("c") % at).alias("cx"), F.floor(F.col("c") / at).cast("int").alias("cy"))
-    cells = nearest(cells.join(F.broadcast(of_grid(at)), ["cx", "cy"]), at)  # 64 rows at most
-    while at < side:
-        at *= 2
-        quarter = F.explode(F.array(*[F.struct((2 * F.col("cx") + i).alias("x"), (2 * F.col("cy") + j).alias("y")) for i in (0, 1) for j in (0, 1)]))
-        cells = cells.withColumn("c", quarter).select("qid", "qx", "qy", "k", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
-        cells = nearest(cells.join(of_grid(at), ["cx", "cy"]), at)
-    pairs = points.join(cells, ["cx", "cy"])
+    by = 1
+    while max(1, grid.n // by) * max(1, grid.ny // by) > KNN_COARSEST**2:
+        by *= 2
+    nx = max(1, grid.n // by)
+    every = F.explode(F.sequence(F.lit(0), F.lit(nx * max(1, grid.ny // by) - 1)))
+    cells = q.withColumn("c", every).select(*q.columns, (F.col("c") % nx).alias("cx"), F.floor(F.col("c") / nx).cast("int").alias("cy"))
+    cells = nearest(cells.join(F.broadcast(of_grid(by)), ["cx", "cy"]), by)  # 64 rows at most
+    while by > 1:
+        # A side that is one cell is not cut before the other has come to its size.
+        cut = [(0, 1) if n >= by else (0,) for n in (grid.n, grid.ny)]
+        by //= 2
+        parts = F.explode(F.array(*[F.struct((len(cut[0]) * F.col("cx") + i).alias("x"), (len(cut[1]) * F.col("cy") + j).alias("y")) for i in cut[0] for j in cut[1]]))
+        cells = cells.withColumn("c", parts).select("qid", "qx", "qy", "k", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+        cells = nearest(cells.join(of_grid(by), ["cx", "cy"]), by)
+    pairs = points.join(cells.hint("merge"), ["cx", "cy"])
     dist = g.distance(F.col("px"), F.col("py"), F.col("qx"), F.col("qy"))
     ranked = pairs.select("qid", "rec_id", "k", dist.alias("dist")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "rec_id")))
     return ranked.where(F.col("rank") <= F.col("k")).select("qid", "rank", "rec_id", "dist")

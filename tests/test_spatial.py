@@ -433,3 +433,22 @@ def test_cells_fit_the_windows_of_a_wide_plane(spark):
     assert grid.levels == (0,) and min(grid.sides()) >= 300 and grid.exploded(w).count() <= 100 * 12
     pairs = grid.exploded(points.df.select("rec_id", "xmin", "ymin", "xmax", "ymax")).select("cell").join(grid.exploded(w).select("cell"), "cell").count()
     assert pairs <= 16 * points.df.join(w.select(*[F.col(c).alias(f"w_{c}") for c in w.columns]), (F.col("xmin") >= F.col("w_xmin")) & (F.col("xmin") <= F.col("w_xmax")) & (F.col("ymin") >= F.col("w_ymin")) & (F.col("ymin") <= F.col("w_ymax"))).count()
+
+
+def test_neighbours_in_a_wide_plane(spark):
+    """Cells for neighbours are about as wide as high, whatever the plane's aspect; answers as by brute force."""
+    from quadrille.types import Bounds
+
+    for b, rows in ((Bounds(0, 0, 1e6, 1000), 1_000_000), (Bounds(0, 0, 1000, 1e6), 1_000_000), (Bounds(0, 0, 100, 100), 5000)):
+        nx, ny = selection.knn_cells(b, rows)
+        assert 0.2 <= (b.xmax - b.xmin) / nx / ((b.ymax - b.ymin) / ny) <= 5 and rows / 50 / 4 <= nx * ny <= rows / 50
+    r = random.Random(4)
+    rows = [(i, r.randrange(200_000) * 1.0, r.randrange(100) * 1.0) for i in range(6000)]
+    asked = [(i, r.randrange(-10, 200_010) * 1.0, r.randrange(-10, 110) * 1.0) for i in range(20)]
+    points = source.from_points(spark.createDataFrame(rows, "i long, x double, y double"), F.col("i"), F.col("x"), F.col("y"))
+    got = {}
+    for x in selection.knn_batch(points, spark.createDataFrame(asked, "qid int, x double, y double"), 3).collect():
+        got.setdefault(x.qid, []).append((x.rank, x.rec_id))
+    for q, x, y in asked:
+        near = sorted((((a - x) ** 2 + (b - y) ** 2) ** 0.5, i) for i, a, b in rows)[:3]
+        assert sorted(got[q]) == [(n, i) for n, (_, i) in enumerate(near, 1)]
