@@ -452,3 +452,29 @@ def test_neighbours_in_a_wide_plane(spark):
     for q, x, y in asked:
         near = sorted((((a - x) ** 2 + (b - y) ** 2) ** 0.5, i) for i, a, b in rows)[:3]
         assert sorted(got[q]) == [(n, i) for n, (_, i) in enumerate(near, 1)]
+
+
+def test_shapes_alike_are_rastered_together(monkeypatch):
+    """Shapes of mixed types and sizes in a wide plane, in parts of few cells: the same intervals as one by one, in order, by few calls."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quadrille.operators import april
+    from quadrille.types import Bounds
+
+    rng, bounds, shapes = random.Random(12), Bounds(0, 0, 1e6, 1000), []
+    for i in range(300):
+        x, y, r = rng.random() * 999_000 + 100, rng.randint(100, 900), rng.choice([1, 8, 40, 90.5])
+        shapes.append([("POLYGON", [x - r, y, x, y + r, x + r, y, x, y - r, x - r, y]), ("LINESTRING", [x, y, x + r, y]), ("POLYGON", [x, y, x + 9000, y + r, x + r, y - r, x, y]), ("BOX", [x, y, x, y + r, x + r, y + r, x + r, y, x, y])][rng.randrange(4)])
+    batch = pa.record_batch({"rec_id": list(range(300)), "gtype": [k for k, _ in shapes], "flat_": pa.array([f for _, f in shapes], pa.list_(pa.float64()))})
+    one = [april.raster(k, np.array(f, float), bounds, 10) for k, f in shapes]
+    real, sizes = april.rasters, []
+    monkeypatch.setattr(april, "rasters", lambda kind, pts, *rest: (sizes.append(len(pts)), real(kind, pts, *rest))[1])
+    for cells in (april.MOST_CELLS, 5000):
+        sizes.clear()
+        monkeypatch.setattr(april, "MOST_CELLS", cells)
+        made = [x for b in april.interval_batches([batch], bounds, 10) for x in b.column("april").to_pylist()]
+        assert [(x["all_"], x["full_"]) for x in made] == one and sum(sizes) == 300
+        assert len(sizes) == 4 if cells > 5000 else 12 < len(sizes) < 300
+    bare = [x for b in april.interval_batches([batch], bounds, 10, lists=False) for x in b.column("april").to_pylist()]
+    assert bare == [{k: x[k] for k in ("all_b", "full_b")} for x in made]
