@@ -478,3 +478,11 @@ def test_shapes_alike_are_rastered_together(monkeypatch):
         assert len(sizes) == 4 if cells > 5000 else 12 < len(sizes) < 300
     bare = [x for b in april.interval_batches([batch], bounds, 10, lists=False) for x in b.column("april").to_pylist()]
     assert bare == [{k: x[k] for k in ("all_b", "full_b")} for x in made]
+
+
+@pytest.mark.parametrize("name", ["point_polygon_intersect_join", "diamond_inside_join", "diamond_meet_join", "line_polygon_inside_join", "segment_box_intersect_join"])
+def test_other_joins_broadcast_no_side_either(spark, name):
+    from quadrille.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [cell" in plan and "Broadcast" not in plan
