@@ -486,3 +486,20 @@ def test_other_joins_broadcast_no_side_either(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin [cell" in plan and "Broadcast" not in plan
+
+
+def test_tasks_of_large_joins_follow_the_rows(spark, monkeypatch):
+    """However few shuffle partitions the session has, a task of a large join holds a bounded number of rows; pairs are the same."""
+    from quadrille.operators import joins
+    from quadrille.plans.catalogue import QUERIES
+
+    asked = lambda: QUERIES["segment_box_intersect_join"](spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    want = sorted(asked().collect())
+    monkeypatch.setattr(joins, "FEW_ROWS", 100)
+    assert "REPARTITION_BY_NUM" not in plan(asked())
+    monkeypatch.setattr(joins, "ROWS_A_TASK", 100)
+    found = asked()
+    rows = sum(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count() for t in ("lineitem", "part"))
+    assert plan(found).count(f", {-(-rows // 100)}), REPARTITION_BY_NUM") == 2
+    assert sorted(found.collect()) == want and want
