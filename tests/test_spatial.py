@@ -488,6 +488,15 @@ def test_other_joins_broadcast_no_side_either(spark, name):
     assert "SortMergeJoin [cell" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["diamond_inside_join", "diamond_meet_join", "diamond_contains_join", "diamond_covers_join", "diamond_covered_by_join"])
+def test_a_set_that_meets_itself_is_dealt_once(spark, name):
+    from quadrille.plans.catalogue import QUERIES
+
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tasks_of_large_joins_follow_the_rows(spark, monkeypatch):
     """However few shuffle partitions the session has, a task of a large join holds a bounded number of rows; pairs are the same."""
     from quadrille.operators import joins
