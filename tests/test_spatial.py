@@ -497,6 +497,16 @@ def test_a_set_that_meets_itself_is_dealt_once(spark, name):
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["point_polygon_inside_join", "point_polygon_intersect_join"])
+def test_boxes_of_polygons_are_read_without_a_ring_being_turned(spark, name):
+    """The bounds of diamonds, read before each join, come of no lambda evaluated row by row; the join alone turns rings."""
+    from quadrille.plans import catalogue
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan(source.dataset_bounds(catalogue.diamond_part(spark, "/root/testdata/sf0.001")))
+    assert "lambda" in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
 def test_tasks_of_large_joins_follow_the_rows(spark, monkeypatch):
     """However few shuffle partitions the session has, a task of a large join holds a bounded number of rows; pairs are the same."""
     from quadrille.operators import joins
