@@ -522,3 +522,78 @@ def test_tasks_of_large_joins_follow_the_rows(spark, monkeypatch):
     rows = sum(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count() for t in ("lineitem", "part"))
     assert plan(found).count(f", {-(-rows // 100)}), REPARTITION_BY_NUM") == 2
     assert sorted(found.collect()) == want and want
+
+
+def _convex_shapes(r, n):
+    """Lines, triangles, boxes and diamonds either way round, on a small plane so that they touch often."""
+    out = []
+    for i in range(n):
+        x, y, a, b = r.randint(-6, 6), r.randint(-6, 6), r.randint(1, 5), r.randint(1, 5)
+        ring = r.choice([[(x, y), (x + a, y + b), (x + a, y - b)], [(x, y), (x, y + b), (x + a, y + b), (x + a, y)], [(x - a, y), (x, y + a), (x + a, y), (x, y - a)], [(x, y), (x, y + b), (x + a, y)], [(x, y), (x + a, y), (x + 2 * a, y), (x, y + b)]])
+        ring = ring[::-1] if r.random() < 0.5 else ring
+        out.append((i, [(float(u), float(v)) for u, v in [*ring, ring[0]]], [(float(x), float(y)), (float(x + r.choice([-a, 0, a])), float(y + b))]))
+    return out
+
+
+def test_small_convex_shapes_are_told_in_columns_as_by_the_kernel(spark):
+    import numpy as np
+
+    from quadrille.functions import geometry as g
+    from quadrille.functions.kernels import decide_predicate
+
+    shapes = _convex_shapes(random.Random(31), 150)
+    df = spark.createDataFrame([(i, p, q) for i, p, q in shapes], f"id int, ring {g.PTS}, ends {g.PTS}")
+    sides = {}
+    for line in (False, True):
+        rows = g.convex(df.select("id", F.col("ends" if line else "ring").alias("pts")), line)
+        assert rows.where("sure").count() == len(shapes)
+        sides[line] = rows.select("id", *g.corner_columns(line))
+    names = ("intersect", "inside", "disjoint", "equal", "meet", "contains", "covers", "covered_by")
+    for line_r, line_s in ((False, False), (True, False), (False, True)):
+        a, b = (sides[line].select(*[F.col(c).alias(f"{c}_{x}") for c in sides[line].columns]) for line, x in ((line_r, "r"), (line_s, "s")))
+        box = lambda x, line: [f(*[F.col(f"{v}{i}_{x}") for i in range(2 if line else 4)]) for f, v in ((F.least, "x"), (F.least, "y"), (F.greatest, "x"), (F.greatest, "y"))]
+        br, bs = (dict(zip(source.BOX, box(x, line))) for x, line in (("r", line_r), ("s", line_s)))
+        got = a.crossJoin(b).where(g.overlap(br, bs)).select("id_r", "id_s", *[g.convex_predicate(n, line_r, line_s).alias(n) for n in names]).collect()
+        flat = lambda ids, line: (np.array([v for i in ids for p in shapes[i][2 if line else 1] for v in p]), np.cumsum([0] + [2 * len(shapes[i][2 if line else 1]) for i in ids]))
+        r, s = flat([x.id_r for x in got], line_r), flat([x.id_s for x in got], line_s)
+        kinds = ["LINESTRING" if line else "POLYGON" for line in (line_r, line_s)]
+        for n in names:
+            want = decide_predicate(n, kinds[0], r, kinds[1], s)
+            assert [x[n] for x in got] == (want == 1).tolist(), (n, line_r, line_s)
+            assert 0 < want.sum() < len(got) or n == "equal" or line_r and n in ("contains", "covers") or line_s and n in ("inside", "covered_by")
+
+
+def test_other_shapes_are_not_sure(spark):
+    from quadrille.functions import geometry as g
+
+    big = 2.0**24
+    rings = [[(0, 0), (0, 4), (4, 0), (4, 4)], [(0, 0), (0, 4), (1, 1), (4, 0)], [(0, 0), (0, 4), (4, 4.5), (4, 0)], [(0, 0), (0, 0), (4, 4), (4, 0)], [(0, 0), (2, 2), (4, 4)],
+             [(0, 0), (0, 4), (2, 5), (4, 4), (4, 0)], [(0, 0), (0, big + 2), (4, 0)], [(0, 0), (0, float("nan")), (4, 0)], [(0, 0), (0, float("inf")), (4, 0)]]
+    rows = [(i, [(float(x), float(y)) for x, y in [*r, r[0]]]) for i, r in enumerate(rings)] + [(90, [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0)]), (91, [(0.0, 0.0), (None, 4.0), (4.0, 0.0), (0.0, 0.0)])]
+    assert not g.convex(spark.createDataFrame(rows, f"id int, pts {g.PTS}"), False).where("sure").count()
+    lines = [(0, [(1.0, 1.0), (1.0, 1.0)]), (1, [(0.0, 0.0), (1.0, 1.0), (2.0, 0.0)]), (2, [(0.0, 0.5), (1.0, 1.0)]), (3, [(0.0, 0.0), (None, 1.0)])]
+    assert not g.convex(spark.createDataFrame(lines, f"id int, pts {g.PTS}"), True).where("sure").count()
+    assert g.convex(spark.createDataFrame([(0, [(0.0, 0.0), (0.0, big), (4.0, 0.0), (0.0, 0.0)])], f"id int, pts {g.PTS}"), False).where("sure").count() == 1
+
+
+@pytest.mark.parametrize("name", ["line_polygon_inside_join", "line_polygon_intersect_join", "line_box_disjoint_join", "polygon_box_intersect_join", "diamond_meet_join", "diamond_covers_join"])
+def test_pairs_of_small_convex_shapes_go_through_no_python(spark, name):
+    from quadrille.plans.catalogue import QUERIES
+
+    assert "ArrowEvalPython" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["inside", "intersect", "meet"])
+def test_one_other_shape_leaves_the_join_whole(spark, name):
+    """A set with a shape that is not told in columns, or a row without a box, gives the pairs of its other rows as before, and that shape's."""
+    from quadrille.operators import joins
+
+    shapes = _convex_shapes(random.Random(5), 60)
+    make = lambda rows, kind: source.from_vertices(spark.createDataFrame(rows, "id int, p array<struct<x:double,y:double>>"), F.col("id"), kind, F.col("p"))
+    lines, rings = make([(i, q) for i, _, q in shapes], "LINESTRING"), [(i, p) for i, p, _ in shapes]
+    pairs = lambda extra: {tuple(x) for x in joins.predicate_join(lines, make(rings + extra, "POLYGON"), name).collect()}
+    odd = (99, [(-20.0, -20.0), (-20.0, 20.5), (20.0, 20.0), (20.0, -20.0), (-20.0, -20.0)])
+    alone, mixed = pairs([]), pairs([odd])
+    assert alone and {x for x in mixed if x[1] != 99} == alone
+    assert {x[0] for x in mixed if x[1] == 99} == (set() if name == "meet" else set(range(60)))
+    assert pairs([(98, [(None, None)] * 5)]) == alone
