@@ -563,6 +563,23 @@ def test_small_convex_shapes_are_told_in_columns_as_by_the_kernel(spark):
             assert 0 < want.sum() < len(got) or n == "equal" or line_r and n in ("contains", "covers") or line_s and n in ("inside", "covered_by")
 
 
+def test_relations_of_small_convex_rings_are_told_in_columns_as_by_the_kernel(spark):
+    import numpy as np
+
+    from quadrille.functions import geometry as g
+    from quadrille.functions.kernels import decide_relation
+
+    shapes = _convex_shapes(random.Random(32), 250)
+    rings = source.from_vertices(spark.createDataFrame([(i, p) for i, p, _ in shapes], f"id int, p {g.PTS}"), F.col("id"), "POLYGON", F.col("p"))
+    sides = g.convex(rings.df, False).select("rec_id", *source.BOX, *g.corner_columns(False))
+    a, b = (sides.select(*[F.col(c).alias(f"{c}_{x}") for c in sides.columns]) for x in "rs")
+    br, bs = ({c: F.col(f"{c}_{x}") for c in source.BOX} for x in "rs")
+    got = g.convex_relations(a.crossJoin(b).where(g.overlap(br, bs))).select("rec_id_r", "rec_id_s", "relation").collect()
+    flat = lambda ids: (np.array([v for i in ids for p in shapes[i][1] for v in p]), np.cumsum([0] + [2 * len(shapes[i][1]) for i in ids]))
+    want = decide_relation("POLYGON", flat([x.rec_id_r for x in got]), "POLYGON", flat([x.rec_id_s for x in got]))
+    assert [x.relation for x in got] == want.tolist() and set(want.tolist()) == {0, 1, 2, 3, 6, 7}
+
+
 def test_other_shapes_are_not_sure(spark):
     from quadrille.functions import geometry as g
 
@@ -576,7 +593,7 @@ def test_other_shapes_are_not_sure(spark):
     assert g.convex(spark.createDataFrame([(0, [(0.0, 0.0), (0.0, big), (4.0, 0.0), (0.0, 0.0)])], f"id int, pts {g.PTS}"), False).where("sure").count() == 1
 
 
-@pytest.mark.parametrize("name", ["line_polygon_inside_join", "line_polygon_intersect_join", "line_box_disjoint_join", "polygon_box_intersect_join", "diamond_meet_join", "diamond_covers_join"])
+@pytest.mark.parametrize("name", ["line_polygon_inside_join", "line_polygon_intersect_join", "line_box_disjoint_join", "polygon_box_intersect_join", "diamond_meet_join", "diamond_covers_join", "diamond_find_relation_count"])
 def test_pairs_of_small_convex_shapes_go_through_no_python(spark, name):
     from quadrille.plans.catalogue import QUERIES
 
